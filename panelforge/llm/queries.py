@@ -6,19 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup, normalised
+from .language import fit_languages, held_out, identify
 from .mixing import mix_counts
+from .pieces import encode_pieces
 from .sharding import shard
+from .token_files import read_digests, write_tokens
 
 
 def _documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*cols)
 
 
+def tokenizer(name: str) -> str:
+    """A vocabulary file of the public tokenizers; the folder is ``PUBLIC_TOKENIZERS`` or the installed package's."""
+    import os
+
+    folder = os.environ.get("PUBLIC_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    out = encode_pieces(docs, tokenizer("piece_bpe_32k.model"), outputs=("ids", "decoded"))
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_counts(_documents(spark, sf_dir, "doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(_documents(spark, sf_dir, "doc_id", "text"), tokenizer("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
+    return read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = fit_languages(docs.where("NOT held_out"))
+    return identify(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = _documents(spark, sf_dir, "doc_id", "text")
@@ -33,7 +66,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
+    "op7_token_files": op7_token_files,
+    "op8_language": op8_language,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
 }
