@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup, normalised
 from .language import fit_languages, held_out, identify
 from .mixing import mix_counts
+from .neighbours import nearest
 from .pieces import encode_pieces
 from .sharding import shard
 from .token_files import read_digests, write_tokens
@@ -41,6 +42,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_tokens(_documents(spark, sf_dir, "doc_id", "text"), tokenizer("word_bpe_49k.json"), vocabulary=49_408, end_id=2)
     return read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -68,6 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
+    "op6_neighbours": op6_neighbours,
     "op7_token_files": op7_token_files,
     "op8_language": op8_language,
     "op9_sharding": op9_sharding,
