@@ -10,6 +10,7 @@ from .language import fit_languages, held_out, identify
 from .mixing import mix_counts
 from .neighbours import nearest
 from .pieces import encode_pieces
+from .secrets import listed, scan
 from .sharding import shard
 from .token_files import read_digests, write_tokens
 
@@ -30,6 +31,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scan(_documents(spark, sf_dir, "doc_id", "text"))
+    base = F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256)
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
     out = encode_pieces(docs, tokenizer("piece_bpe_32k.model"), outputs=("ids", "decoded"))
@@ -72,6 +79,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
     "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
     "op6_neighbours": op6_neighbours,
