@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup, normalised
+from .jaccard import jaccard_classes
 from .language import fit_languages, held_out, identify
 from .mixing import mix_counts
 from .neighbours import nearest
@@ -31,6 +32,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_documents(spark, sf_dir, "doc_id", "text")).drop("n_copies")
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(_documents(spark, sf_dir, "doc_id", "text"))
     base = F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256)
@@ -79,6 +84,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard": op1_jaccard,
     "op2_secrets": op2_secrets,
     "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
