@@ -64,8 +64,9 @@ class Shingler:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        for t in set(tokens) - cache.keys():
-            cache[t] = self.of_word(t)
+        for t in set(tokens):
+            if t not in cache:
+                cache[t] = self.of_word(t)
         w = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
         k = min(self.words, len(w))
         s = np.full(len(w) - k + 1, k, dtype=np.uint64)
