@@ -120,8 +120,11 @@ def mix(
     counts = counts.withColumn("first", F.coalesce(F.sum("drawn").over(run), F.lit(0)).cast("long")).select("shard", "source", "blocks", "drawn", "first")
 
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+    # The counts are few rows and the slots many: a fixed number of partitions keeps the work spread out.
+    total = sources.agg(F.max("slots")).first()[0] or 0.0
     slots = (
         counts.where("drawn > 0")
+        .repartition(max(8, int(total // 50_000) + 1), "source", "shard")
         .select("shard", "source", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("drawn") - 1)).alias("k"))
         .withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("int"))
         .where(F.col("pass") < passes)
@@ -145,7 +148,7 @@ def mix(
 def _taken(m: Mix, lists: bool) -> DataFrame:
     """For each document row (``_row``, ``start``): the words taken, and on request the ranges."""
     uses = m.slots.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count(F.lit(1)).alias("uses"))
-    hit = m.pieces.join(uses, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    hit = m.pieces.hint("merge").join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
     aggs = [F.sum(F.col("words") * F.col("uses")).cast("long").alias("taken")]
     if lists:
         aggs.append(F.array_sort(F.collect_list(F.struct("word", "words", "uses"))).alias("ranges"))
