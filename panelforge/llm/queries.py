@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_dedup, normalised
 from .jaccard import jaccard_classes
 from .language import fit_languages, held_out, identify
+from .lm_scores import score_documents
 from .mixing import mix_counts
 from .neighbours import nearest
 from .pieces import encode_pieces
@@ -54,6 +55,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
@@ -88,6 +93,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_pieces": op3_pieces,
     "op4_mixing": op4_mixing,
+    "op5_lm_scores": op5_lm_scores,
     "op6_neighbours": op6_neighbours,
     "op7_token_files": op7_token_files,
     "op8_language": op8_language,
@@ -98,6 +104,22 @@ QUERIES = {
 _TEXT_N = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 ORACLES = {
+    "op5_lm_scores": r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+t AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS i FROM w WHERE len(l) > 0),
+c AS (SELECT word, count(*) AS times FROM t GROUP BY 1),
+top AS (SELECT word, times, row_number() OVER (ORDER BY times DESC, word) AS id FROM c QUALIFY id <= 131071),
+n AS (SELECT sum(times) AS n FROM c),
+ids AS (SELECT doc_id, i, coalesce(top.id, 0) AS id FROM t LEFT JOIN top USING (word)),
+u AS (SELECT id, count(*) AS times FROM ids GROUP BY 1),
+b AS (SELECT doc_id, i, id AS w2, lag(id) OVER (PARTITION BY doc_id ORDER BY i) AS w1 FROM ids),
+bc AS (SELECT w1, w2, count(*) AS times FROM b WHERE w1 IS NOT NULL GROUP BY 1, 2),
+s AS (
+  SELECT b.doc_id, CAST(round(1e6 * CASE WHEN b.w1 IS NULL THEN ln(u2.times) - ln(n.n) WHEN bc.times >= 2 THEN ln(bc.times) - ln(u1.times) ELSE ln(0.4) + ln(u2.times) - ln(n.n) END) AS BIGINT) AS m
+  FROM b JOIN u u2 ON b.w2 = u2.id LEFT JOIN u u1 ON b.w1 = u1.id LEFT JOIN bc ON b.w1 = bc.w1 AND b.w2 = bc.w2 CROSS JOIN n)
+SELECT w.doc_id, len(l) AS n_words, coalesce(m, 0) / 1e6 AS score, CASE WHEN len(l) > 0 THEN m / 1e6 / len(l) END AS per_word
+FROM w LEFT JOIN (SELECT doc_id, CAST(sum(m) AS BIGINT) AS m FROM s GROUP BY 1) USING (doc_id)""",
     "op10_exact_dedup": f"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS c, sha256({_TEXT_N}) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, count(*) AS group_size FROM d GROUP BY 1),
