@@ -1,6 +1,284 @@
-"""Registered queries of the core library and their DuckDB oracles."""
+"""Registered queries of the core library: one for each operator, over panels derived from the star schema."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.expressions import by_symbol, div, pct_change
+from ..operators import alignment as A
+from ..operators import crosssection as X
+from ..operators import evaluate as E
+from ..operators import factors as Fa
+from ..operators import features as Fe
+from ..operators import ml as M
+from ..operators import portfolio as P
+from ..sources import panels as S
+from .oracles import ORACLES
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+
+
+def query(name: str):
+    def add(f):
+        QUERIES[name] = f
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *cols: str) -> DataFrame:
+    """Rounded for comparison.  A small shift keeps quotients of whole cents off the ties, and adding 0 turns a negative zero into a zero."""
+    return df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(2.3e-10), 6) + F.lit(0.0) for c in cols})
+
+
+def grid(spark: SparkSession, sf: str) -> DataFrame:
+    return A.dense_grid(S.monthly_bars(spark, sf))
+
+
+def week_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return A.dense_grid(S.weekly_bars(spark, sf))
+
+
+def panel(spark: SparkSession, sf: str) -> DataFrame:
+    """Momentum over five months, and the next month's return from open to close."""
+    lead = lambda c: F.lead(c).over(by_symbol())
+    return grid(spark, sf).select("dt", "symbol", pct_change("close", 5).alias("factor"), (div(lead("close"), lead("open")) - 1).alias("fwd_ret"))
+
+
+def pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return panel(spark, sf).where("factor IS NOT NULL AND fwd_ret IS NOT NULL")
+
+
+def capped(spark: SparkSession, sf: str) -> DataFrame:
+    total = F.sum("amount").over(by_symbol().rowsBetween(-11, 0))
+    return grid(spark, sf).select("dt", "symbol", pct_change("close", 5).alias("factor"), F.when(total > 0, F.log(total)).alias("size"))
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal-weight returns; derived prices jump, so a hundredth of them."""
+    return grid(spark, sf).withColumn("r", pct_change("close")).where("r IS NOT NULL").groupBy("dt").agg((F.avg("r") / 100).alias("ret"))
+
+
+def factor_panel(spark: SparkSession, sf: str) -> DataFrame:
+    lead = lambda c: F.lead(c).over(by_symbol())
+    return grid(spark, sf).select("dt", "symbol", pct_change("close").alias("m1"), pct_change("close", 3).alias("m3"), div(F.col("high") - F.col("low"), "close").alias("spread"), F.col("volume").alias("vol"), (div(lead("close"), lead("open")) - 1).alias("fwd"))
+
+
+FACTORS = ("m1", "m3", "spread", "vol")
+
+
+@query("panel_monthly_bars")
+def _(spark, sf):
+    return r6(S.monthly_bars(spark, sf), "open", "high", "low", "close").withColumn("amount", F.round("amount", 2))
+
+
+@query("scan_filtered")
+def _(spark, sf):
+    out = S.restricted(S.monthly_bars(spark, sf), [1, 2, 3, 4, 5], "1997-01-01", "1998-12-31", [3])
+    return r6(out, "close").select("dt", "symbol", "close")
+
+
+QUERIES["scan_symbols"] = lambda spark, sf: spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("symbol")).distinct()
+
+
+@query("scan_statements_delayed")
+def _(spark, sf):
+    out = S.restricted(S.quarterly_statements(spark, sf), start="1999-01-01")
+    return out.select("symbol", "dt", "report_date", F.round("revenue", 2).alias("revenue"), F.round("net_income", 2).alias("net_income"))
+
+
+QUERIES["dense_grid"] = lambda spark, sf: r6(grid(spark, sf).select("dt", "symbol", "i", "close"), "close")
+QUERIES["ic_series_rank"] = lambda spark, sf: r6(E.ic_series(pairs(spark, sf)), "ic")
+QUERIES["ic_series_pearson"] = lambda spark, sf: r6(E.ic_series(pairs(spark, sf), method="pearson"), "ic")
+QUERIES["ic_summary"] = lambda spark, sf: r6(E.ic_summary(E.ic_series(pairs(spark, sf)), 21), "ic_mean", "ic_std", "icir", "t_stat", "positive_ratio")
+QUERIES["yearly_ic"] = lambda spark, sf: r6(E.yearly_ic(E.ic_series(pairs(spark, sf))), "ic_mean", "ic_std", "icir", "positive_ratio")
+QUERIES["ic_decay"] = lambda spark, sf: r6(E.ic_decay(panel(spark, sf), most=6), "ic")
+QUERIES["forward_returns"] = lambda spark, sf: r6(E.forward_returns(grid(spark, sf), (1, 5)), "fwd_1", "fwd_5")
+
+
+@query("rebalance_returns")
+def _(spark, sf):
+    bars = S.monthly_bars(spark, sf)
+    return r6(E.rebalance_returns(bars, A.calendar(bars).where(F.month("dt").isin(1, 4, 7, 10))), "fwd_ret")
+
+
+QUERIES["layers"] = lambda spark, sf: r6(E.layers(pairs(spark, sf)), "ret")
+QUERIES["layer_summary"] = lambda spark, sf: r6(E.layer_summary(E.layers(pairs(spark, sf)).withColumn("ret", F.col("ret") / 100), period=21), "total", "annual", "sharpe")
+QUERIES["layer_spreads"] = lambda spark, sf: r6(E.spread_series(E.layers(pairs(spark, sf))), "top", "short", "excess")
+QUERIES["drawdown"] = lambda spark, sf: r6(E.drawdown(series(spark, sf)).select("dt", "wealth", "drawdown"), "wealth", "drawdown")
+QUERIES["turnover"] = lambda spark, sf: r6(E.turnover(panel(spark, sf)), "turnover")
+QUERIES["top_holdings"] = lambda spark, sf: E.top_holdings(panel(spark, sf))
+
+
+@query("features_kline")
+def _(spark, sf):
+    made = Fe.kline()
+    return r6(grid(spark, sf).select("dt", "symbol", *[c.alias(n) for n, c in made.items()]), *made)
+
+
+@query("features_price")
+def _(spark, sf):
+    made = Fe.price()
+    return r6(grid(spark, sf).select("dt", "symbol", *[c.alias(n) for n, c in made.items()]), *made)
+
+
+def _rolling(prefix: str):
+    def run(spark, sf):
+        f = Fe.ROLLING[prefix]
+        return r6(Fe.derived(week_grid(spark, sf)).select("dt", "symbol", f(5).alias(f"{prefix}5"), f(20).alias(f"{prefix}20")), f"{prefix}5", f"{prefix}20")
+
+    return run
+
+
+for _p in Fe.ROLLING:
+    QUERIES[f"rolling_{_p}"] = _rolling(_p)
+for _n in (5, 10, 20):
+    QUERIES[f"momentum_{_n}"] = lambda spark, sf, n=_n: r6(Fa.REGISTRY.get(f"momentum_{n}")(grid(spark, sf)), "value")
+for _r in ("month", "half_month"):
+    QUERIES[f"resample_{_r}"] = lambda spark, sf, r=_r: r6(A.resample(S.weekly_bars(spark, sf), r), "open", "high", "low", "close")
+
+
+@query("features_all_158")
+def _(spark, sf):
+    """All features in one pass; no SQL of its own, each prefix has one above."""
+    return Fe.features(week_grid(spark, sf))
+
+
+@query("as_of_statements")
+def _(spark, sf):
+    out = A.as_of(grid(spark, sf).select("dt", "symbol"), S.quarterly_statements(spark, sf), ["report_date", "net_income"])
+    return out.withColumn("net_income", F.round("net_income", 2))
+
+
+@query("trailing_dividends")
+def _(spark, sf):
+    return A.trailing_sum(grid(spark, sf).select("dt", "symbol"), S.dividends(spark, sf), "dividend", 365, "ttm").withColumn("ttm", F.round(F.col("ttm") + F.lit(3.1e-5), 2))
+
+
+@query("upsert_keep_last")
+def _(spark, sf):
+    bars = S.monthly_bars(spark, sf).select("dt", "symbol", "close")
+    return r6(A.upsert(bars, bars.where("dt >= DATE'2000-01-01'").withColumn("close", F.col("close") * 2), ["dt", "symbol"]), "close")
+
+
+@query("universe_active")
+def _(spark, sf):
+    day = F.to_date("l_shipdate")
+    listing = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("symbol")).agg(F.min(day).alias("list_date"), F.max(day).alias("delist_date"))
+    return S.active_universe(listing, "1995-01-10", "1995-02-01")
+
+
+@query("universe_pending_anti")
+def _(spark, sf):
+    done = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_shipdate < TIMESTAMP'1995-01-05'").select(F.col("l_suppkey").alias("symbol"))
+    return spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("symbol")).join(done, "symbol", "left_anti")
+
+
+@query("membership_as_of")
+def _(spark, sf):
+    best = Window.partitionBy("quarter").orderBy(F.desc("revenue"), "symbol")
+    snaps = S.quarterly_statements(spark, sf).withColumn("n", F.row_number().over(best)).where("n <= 5").select(F.col("quarter").alias("dt"), "symbol")
+    dates = spark.createDataFrame([("1996-05-05",), ("1998-02-01",), ("2000-11-11",)], "dt string").select(F.to_date("dt").alias("dt"))
+    return A.members_as_of(dates, snaps)
+
+
+@query("winsor_zscore")
+def _(spark, sf):
+    d = capped(spark, sf).withColumn("v", X.winsorise("factor")).withColumn("v", X.median_filled("v"))
+    return r6(d.select("dt", "symbol", X.zscore("v").alias("z")), "z")
+
+
+QUERIES["mad_winsor"] = lambda spark, sf: r6(X.mad_winsorised(capped(spark, sf), "factor").select("dt", "symbol", "factor"), "factor")
+QUERIES["size_neutral"] = lambda spark, sf: r6(capped(spark, sf).select("dt", "symbol", X.size_neutral("factor", "size").alias("resid")), "resid")
+
+
+@query("industry_neutral")
+def _(spark, sf):
+    d = capped(spark, sf).where("factor IS NOT NULL AND size IS NOT NULL").join(S.industries(spark, sf), "symbol")
+    return r6(X.industry_neutral(d, "factor", "size", "industry", "resid").select("dt", "symbol", "resid"), "resid")
+
+
+def _long(spark, sf):
+    return X.long_form(factor_panel(spark, sf), FACTORS, ("dt", "symbol", "fwd"))
+
+
+QUERIES["valid_dates"] = lambda spark, sf: X.valid_dates(factor_panel(spark, sf), FACTORS)
+QUERIES["factor_rank_ic"] = lambda spark, sf: r6(X.factor_rank_ic(_long(spark, sf)), "ic")
+QUERIES["rank_icir_weights"] = lambda spark, sf: r6(X.rank_icir_weights(X.factor_rank_ic(_long(spark, sf))), "weight")
+
+
+@query("combined_score")
+def _(spark, sf):
+    long = _long(spark, sf)
+    return r6(X.combined(long, X.rank_icir_weights(X.factor_rank_ic(long))), "score")
+
+
+QUERIES["long_short_return"] = lambda spark, sf: r6(X.long_short(pairs(spark, sf), "factor", "fwd_ret"), "long_short")
+QUERIES["quantile_spread"] = lambda spark, sf: r6(X.quantile_spread(pairs(spark, sf), "factor", "fwd_ret"), "spread")
+
+
+@query("capm_beta")
+def _(spark, sf):
+    p = grid(spark, sf).withColumnRenamed("amount", "market_cap")
+    return r6(Fa.capm_beta(p, lookback=24, least=12, month_end=False), "value")
+
+
+@query("three_factor_volatility")
+def _(spark, sf):
+    p = grid(spark, sf).withColumn("ret", pct_change("close"))
+    size = X.quantile_spread(p, "amount", "ret").select("dt", (-F.col("spread")).alias("smb"))
+    value = X.quantile_spread(p, "volume", "ret").select("dt", F.col("spread").alias("hml"))
+    return r6(Fa.three_factor_volatility(p, size, value, Fa.market_returns(p, "amount")), "value")
+
+
+@query("quality_subfactors")
+def _(spark, sf):
+    return r6(Fa.quality_subfactors(S.quarterly_statements(spark, sf)), *Fa.PROFIT, *Fa.GROWTH)
+
+
+@query("quality_increase")
+def _(spark, sf):
+    q = Fa.quality_subfactors(S.quarterly_statements(spark, sf)).select("dt", "symbol", F.col("roeq").alias("score"))
+    return r6(Fa.quality_increase(q), "increase")
+
+
+def _weights(spark, sf):
+    return P.top_k_weights(grid(spark, sf).withColumn("signal", pct_change("close", 5)))
+
+
+QUERIES["top_k_weights"] = lambda spark, sf: r6(_weights(spark, sf), "weight")
+
+
+@query("execution_simulation")
+def _(spark, sf):
+    return r6(P.simulate(_weights(spark, sf), S.monthly_bars(spark, sf)).daily, "equity", "cash", "ret", "turnover")
+
+
+_PERF = ("total_return", "annual_vol", "sharpe", "max_drawdown", "win_rate", "profit_loss")
+QUERIES["performance"] = lambda spark, sf: r6(P.performance(series(spark, sf)), *_PERF).select(*_PERF, "drawdown_days", "n")
+QUERIES["monthly_returns"] = lambda spark, sf: r6(P.monthly_returns(series(spark, sf)), "ret")
+QUERIES["rolling_sharpe"] = lambda spark, sf: r6(P.rolling_sharpe(series(spark, sf), 12), "sharpe")
+
+
+@query("benchmark_excess")
+def _(spark, sf):
+    one = grid(spark, sf).where("symbol = 1").select("dt", pct_change("close").alias("ret"))
+    return r6(P.excess(series(spark, sf), one), "excess")
+
+
+QUERIES["ma_cross"] = lambda spark, sf: S.weekly_bars(spark, sf).select("dt", "symbol", Fa.ma_cross().alias("signal"))
+QUERIES["rsi"] = lambda spark, sf: r6(Fa.rsi(S.weekly_bars(spark, sf)), "rsi")
+
+
+@query("timing_summary")
+def _(spark, sf):
+    bars = S.weekly_bars(spark, sf)
+    out = P.timing_summary(bars.select("dt", "symbol", Fa.ma_cross().alias("signal")), bars, scale=0.01)
+    return r6(out, "direction_win_rate", *_PERF).select("symbol", "direction_win_rate", *_PERF, "drawdown_days", "n")
+
+
+QUERIES["class_labels"] = lambda spark, sf: M.class_labels(panel(spark, sf)).select("dt", "symbol", "label")
+QUERIES["time_folds"] = lambda spark, sf: M.time_folds(A.calendar(S.monthly_bars(spark, sf)))
+
+__all__ = ["ORACLES", "QUERIES"]
