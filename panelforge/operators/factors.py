@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import by_symbol, div, ewm_mean, full, last_rows, pct_change, rolling, upto
-from .features import all_features, derived
+from .features import all_features, derived, feature_names, features
 
 
 class Registry:
@@ -175,8 +175,8 @@ def quality_increase(scores: DataFrame, rows: int = 4) -> DataFrame:
 
 
 REGISTRY = Registry()
-for _name, _value in all_features().items():
-    REGISTRY.register(_name, of_column(lambda v=_value: v))
+for _name in feature_names():
+    REGISTRY.register(_name, lambda grid, n=_name: features(grid, [n]).withColumnRenamed(n, "value"))
 for _n in (5, 10, 20):
     REGISTRY.register(f"momentum_{_n}", of_column(lambda n=_n: momentum(n)))
 REGISTRY.register("volatility_20", volatility(20))

@@ -109,9 +109,15 @@ def all_features() -> dict[str, Column]:
     return {**kline(), **price(), **{f"alpha158_{p}{n}": f(n) for p, f in ROLLING.items() for n in WINDOWS}}
 
 
+def feature_names() -> list[str]:
+    """The names of all 158, known without a session."""
+    line = [f"alpha158_{k}" for k in ("klen", "kmid", "kmid2", "kup", "kup2", "klow", "klow2", "ksft", "ksft2")]
+    return [*line, *[f"alpha158_{k}0" for k in ("open", "high", "low", "vwap")], *[f"alpha158_{p}{n}" for p in ROLLING for n in WINDOWS]]
+
+
 def features(grid: DataFrame, names: list[str] | None = None) -> DataFrame:
     made = all_features()
     return derived(grid).select("dt", "symbol", *[made[n].alias(n) for n in names or made])
 
 
-__all__ = ["ROLLING", "WINDOWS", "all_features", "correlation", "derived", "features", "kline", "price"]
+__all__ = ["ROLLING", "WINDOWS", "all_features", "correlation", "derived", "feature_names", "features", "kline", "price"]

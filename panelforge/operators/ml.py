@@ -55,12 +55,16 @@ def time_folds(panel: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def linear_model(train: DataFrame, names: Sequence[str], label: str, kind: str = "ridge", alpha: float = 1.0):
-    """Ridge or lasso without standardisation; Spark's penalty is per row, so ridge divides alpha by the rows."""
+    """Ridge (squared error plus alpha times squared weights) or lasso (half the mean squared error plus alpha times absolute weights).
+
+    Spark's penalty is per row, and its squared part is relative to the label's deviation; ridge's alpha is turned into that.
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
     rows = VectorAssembler(inputCols=list(names), outputCol="_x").transform(train.dropna(subset=[*names, label]))
-    reg = alpha / rows.count() if kind == "ridge" else alpha
+    n, std = rows.agg(F.count(F.lit(1)), F.stddev_samp(label)).first()
+    reg = alpha * (std or 1.0) / n if kind == "ridge" else alpha
     model = LinearRegression(featuresCol="_x", labelCol=label, regParam=reg, elasticNetParam=0.0 if kind == "ridge" else 1.0, standardization=False).fit(rows)
     importance = sorted(zip(names, map(abs, model.coefficients.toArray()), strict=True), key=lambda x: -x[1])
     return model, importance

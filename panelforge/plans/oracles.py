@@ -340,4 +340,5 @@ hit AS (SELECT symbol, avg(CASE WHEN s <> 0 AND r IS NOT NULL THEN CASE WHEN s =
         "SELECT dt, symbol, CASE WHEN u <= floor(n * 0.3) THEN 1 ELSE -1 END AS label FROM n WHERE n >= 30 AND (u <= floor(n * 0.3) OR d <= floor(n * 0.3))",
     ),
     "time_folds": with_(BM + ", d AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT dt FROM bm)), f AS (SELECT dt, k, n // 6 AS size, n - (n // 6) * 5 AS first FROM d)", "SELECT dt, CAST(CASE WHEN k < first THEN 0 ELSE (k - first) // size + 1 END AS INT) AS fold FROM f"),
+    "event_bars": f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS dt, event_type AS symbol, {r6('arg_min(value, (ts, event_id))', 'open')}, {r6('max(value)', 'high')}, {r6('min(value)', 'low')}, {r6('arg_max(value, (ts, event_id))', 'close')}, count(*) AS volume FROM events GROUP BY 1, 2",
 }

@@ -14,6 +14,7 @@ from ..operators import features as Fe
 from ..operators import ml as M
 from ..operators import portfolio as P
 from ..sources import panels as S
+from ..streaming import bars as B
 from .oracles import ORACLES
 
 QUERIES: dict = {}
@@ -281,4 +282,6 @@ def _(spark, sf):
 QUERIES["class_labels"] = lambda spark, sf: M.class_labels(panel(spark, sf)).select("dt", "symbol", "label")
 QUERIES["time_folds"] = lambda spark, sf: M.time_folds(A.calendar(S.monthly_bars(spark, sf)))
 
+QUERIES["event_bars"] = lambda spark, sf: r6(B.tumbling_bars(spark.read.parquet(f"{sf}/events.parquet")), "open", "high", "low", "close")
+
 __all__ = ["ORACLES", "QUERIES"]
