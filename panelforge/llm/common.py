@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,34 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows of an Arrow batch, for workers that read whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def per_worker(key: tuple, make):
+    """What ``make`` returns, kept for the tasks that the same Python worker runs after this one."""
+    store = sys.modules.setdefault("_panelforge_worker", types.ModuleType("_panelforge_worker")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def most_frequent(counts: DataFrame, most: int, times: str = "times") -> DataFrame:
+    """The rows whose count is above the lowest threshold that leaves at most ``most`` of them; a tie at it goes as a whole.
+
+    A histogram of counts, which has a row for each distinct count, gives the threshold, so
+    no partition hands on more than what is kept overall.
+    """
+    from pyspark.sql import Window
+
+    upto = Window.orderBy(F.desc(times)).rowsBetween(Window.unboundedPreceding, 0)
+    least = counts.groupBy(times).agg(F.count(F.lit(1)).alias("_n")).withColumn("_sum", F.sum("_n").over(upto)).where(F.col("_sum") <= most).agg(F.min(times)).first()[0]
+    return counts.where(F.lit(False)) if least is None else counts.where(F.col(times) >= least)
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, most_frequent, small_batches
 
 #: Words with an id of their own; the model's bounded part, about 20 bytes each.
 VOCABULARY = (1 << 17) - 1
@@ -37,7 +37,7 @@ CHUNK_DOCS, CHUNK_WORDS = 2048, 1 << 21
 #: A bigram that so many documents of a chunk have goes to its bucket once.
 SHARED_DOCS = 16
 #: Bigrams of documents in a bucket.
-BUCKET_ROWS = 4_000_000
+BUCKET_ROWS = 2_000_000
 #: Scores are sums of whole micro-nats: their order doesn't matter.
 UNIT = 1e6
 
@@ -196,7 +196,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, alpha: float
     Words are lower-cased (A-Z) and separated by ASCII white space.  All documents are counted.  A word
     after w1 scores ``c(w1 w) / c(w1)`` if the bigram's count is ``cutoff`` or more, else
     ``alpha * c(w) / N``; a document's first word ``c(w) / N``.  Words beyond the
-    ``vocabulary`` most frequent (ties: by their bytes) count as one word.  Each logarithm is rounded to a
+    ``vocabulary`` most frequent (a tie at the limit goes as a whole) count as one word.  Each logarithm is rounded to a
     millionth, and the sums are exact.
 
     A null or empty text scores 0 with a null ``per_word``; repeated rows are scored, and counted, each; null keys are kept;
@@ -204,11 +204,12 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, alpha: float
     """
     if vocabulary >= 1 << BITS:
         raise ValueError(f"at most {(1 << BITS) - 1} words")
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     counted = durable(rows.select("text").mapInArrow(_count, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")), "lm-words")
     total = counted.agg(F.sum("times")).first()[0] or 0
-    top = counted.orderBy(F.desc("times"), "word").limit(vocabulary).collect()
+    top = sorted(most_frequent(counted, vocabulary).collect(), key=lambda r: (-r.times, bytes(r.word)))
     counts = np.array([0, *[r.times for r in top]], dtype=np.int64)
     counts[0] = total - counts.sum()
     shared = spark.sparkContext.broadcast(([bytes(r.word) for r in top], counts))

@@ -109,7 +109,7 @@ WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
 t AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS i FROM w WHERE len(l) > 0),
 c AS (SELECT word, count(*) AS times FROM t GROUP BY 1),
-top AS (SELECT word, times, row_number() OVER (ORDER BY times DESC, word) AS id FROM c QUALIFY id <= 131071),
+top AS (SELECT word, times, row_number() OVER (ORDER BY times DESC, word) AS id FROM c QUALIFY count(*) OVER (ORDER BY times DESC RANGE UNBOUNDED PRECEDING) <= 131071),
 n AS (SELECT sum(times) AS n FROM c),
 ids AS (SELECT doc_id, i, coalesce(top.id, 0) AS id FROM t LEFT JOIN top USING (word)),
 u AS (SELECT id, count(*) AS times FROM ids GROUP BY 1),
