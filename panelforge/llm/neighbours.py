@@ -141,7 +141,7 @@ def nearest(
     double precision, ties to the smaller key; a row is never its own neighbour.
 
     ``hashes`` per table follows the number of distinct vectors, for buckets of about a
-    thousand; ``tables`` and ``probes`` follow ``hashes``: measured recall at 20 against brute force is
+    thousand (up to a thousand vectors share the one bucket of no hash); ``tables`` and ``probes`` follow ``hashes``: measured recall at 20 against brute force is
     0.95 or more for vectors without structure (see the tests and README).
 
     Vectors that are null, of another length than the longest, zero, or hold a null or non-finite component take no part,
@@ -165,9 +165,9 @@ def nearest(
     full = dim + bool(norm)
     width = 1 << max(1, (full - 1).bit_length())
     if hashes is None:
-        hashes = max(1, math.ceil(math.log(max(n / 1024, 1)) / math.log(2 * width)))
-    tables = tables or {1: 8, 2: 18}.get(hashes, 18 * 3 ** (hashes - 2))
-    probes = probes or {1: max(8, width // 4), 2: 2 * width}.get(hashes, 2 * width * 4 ** (hashes - 2))
+        hashes = math.ceil(math.log(max(n / 1024, 1)) / math.log(2 * width))
+    tables = tables or {0: 1, 1: 10, 2: 18}.get(hashes, 18 * 3 ** (hashes - 2))
+    probes = probes or {0: 1, 1: max(16, width // 4), 2: 2 * width}.get(hashes, 2 * width * 4 ** (hashes - 2))
     index = CrossPolytope(full, tables, hashes, probes)
 
     asked = rows.where("is_query").select("id", "vec").distinct().join(groups.select("vec", "rep"), "vec").select(F.col("id").alias("query_id"), "rep")
