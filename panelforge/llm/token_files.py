@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,14 +22,17 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import per_worker, shared_dir, small_batches
 
 #: Ids in a block, a multiple of 64: every block starts at a whole 64-bit word.
 BLOCK_IDS = 4096
 #: A segment ends after the document that takes it to this many ids.
 SEGMENT_IDS = 1 << 18
 #: Entries that a worker keeps of its cache of encoded chunks.
-CACHE = 300_000
+CACHE = 800_000
+#: Lower-case letters of Latin-1, which every version of Unicode agrees on; and such letters with marks after them.
+_LETTERS = re.compile("[a-zªµºß-öø-ÿ]+")
+_TAIL = re.compile("([a-zªµºß-öø-ÿ]+)([,.!?;:]+)\\Z")
 
 SEGMENTS = (
     "part int, segment int, n_ids long, bits int, block_ids int, block_offsets array<long>, doc_ids array<long>, doc_lengths array<long>, payload binary"
@@ -80,10 +84,16 @@ def unpack_range(payload: bytes, bits: int, block_ids: int, offsets: list[int],
 
 
 class ChunkEncoder:
-    """Encodes texts with a tokenizer whose normaliser turns white space into blanks and whose
-    pre-tokenizer drops it: the ids of a text are then those of its blank-separated chunks in
-    turn, so each distinct chunk is encoded once and kept in a bounded cache.  ``whole``
-    encodes texts as they are, for other tokenizers."""
+    """Encodes texts, each distinct chunk once.
+
+    For a tokenizer that lower-cases, turns white space into blanks, drops them before its
+    merges and marks the ends of words, the ids of a text are those of its
+    blank-separated chunks in turn, and a chunk that ends in commas, stops or marks after letters falls
+    apart there too.  Chunks are kept in a bounded cache.  Those that are missing are encoded
+    in one call, as words of one text, and told apart by the pieces that end a word.
+    Texts for which lower-casing and composing might not commute are encoded whole;
+    ``whole`` does that with all texts, for other tokenizers.
+    """
 
     def __init__(self, path: str, whole: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -91,23 +101,61 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole = whole
+        pieces = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
+        self.ends = np.zeros(pieces[-1][1] + 1, dtype=bool)
+        self.ends[[i for p, i in pieces if p.endswith("</w>")]] = True
         self.cache: dict[str, bytes] = {"": b""}
+        if not whole:
+            # Words that are lower-case letters in composed form already need no normaliser.
+            from tokenizers import normalizers, pre_tokenizers
+
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = normalizers.Sequence([])
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fill(self, missing: set[str]) -> None:
+        cache = self.cache
+        letters = set(filter(_LETTERS.fullmatch, missing))
+        cut = {c: m for c in missing - letters if (m := _TAIL.match(c))}
+        letters.update(h for m in cut.values() if (h := m[1]) not in cache)
+        other = [c for c in {m[2] for m in cut.values()} | (missing - letters - cut.keys()) if c not in cache]
+        letters = list(letters)
+        for k in range(0, len(letters), 5_000):
+            some = letters[k : k + 5_000]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(some) and stops[-1] == len(ids):
+                data, at = ids.tobytes(), [0, *(4 * stops).tolist()]
+                self.cache.update(zip(some, [data[i:j] for i, j in zip(at, at[1:], strict=False)], strict=True))
+            else:
+                self.cache.update(zip(some, self._encode(some), strict=True))
+        if other:
+            self.cache.update(zip(other, self._encode(other), strict=True))
+        self.cache.update((c, self.cache[m[1]] + self.cache[m[2]]) for c, m in cut.items())
+
+    def _chunks(self, text: str) -> list[str] | None:
+        if not text.isascii() and ("\u03a3" in text or "\u0130" in text or not unicodedata.is_normalized("NFC", text)):
+            return None
+        if "<|" in text:
+            return None
+        return text.lower().replace("\n", " ").split(" ")
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if self.whole:
-            return [np.frombuffer(b, dtype="<u4") for b in self._encode(texts)]
-        chunks = [re.split("[ \n]", t) for t in texts]
-        missing = list(set().union(*map(set, chunks)) - self.cache.keys())
+        chunks = [None if self.whole else self._chunks(t) for t in texts]
+        missing: set[str] = set()
+        for c in chunks:
+            if c is not None:
+                missing |= set(c).difference(self.cache)
         if len(self.cache) + len(missing) > CACHE:
             self.cache = {"": b""}
-            missing = list(set().union(*map(set, chunks)) - {""})
-        for k in range(0, len(missing), 20_000):
-            some = missing[k : k + 20_000]
-            self.cache.update(zip(some, self._encode(some), strict=True))
-        return [np.frombuffer(b"".join(map(self.cache.__getitem__, c)), dtype="<u4") for c in chunks]
+            missing = set().union(*(c for c in chunks if c is not None)) - {""}
+        self._fill(missing)
+        rest = iter(self._encode([t for t, c in zip(texts, chunks, strict=True) if c is None]))
+        get = self.cache.__getitem__
+        return [np.frombuffer(next(rest) if c is None else b"".join(map(get, c)), dtype="<u4") for c in chunks]
 
 
 def _chunked(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -119,7 +167,7 @@ def _segments(path: str, vocabulary: int, end_id: int, whole: bool):
     bits = min_bits(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, segment = ChunkEncoder(path, whole), TaskContext.get().partitionId(), 0
+        encoder, part, segment = per_worker(("tokens", path, whole), lambda: ChunkEncoder(path, whole)), TaskContext.get().partitionId(), 0
         held, docs, total = [], [], 0
         end = np.array([end_id], dtype=np.uint32)
 
@@ -164,6 +212,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, vocabulary: int, end_id: int =
     side, ordered by text.  An empty table writes an empty file set.  Other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     out = out or f"{shared_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
