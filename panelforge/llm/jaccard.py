@@ -12,11 +12,13 @@ The join is exact.  Shingles are 64-bit hashes, and a document's set is their so
 4. *Hubs.*  In each shingle's group every class is paired with one hub; pairs that
    share enough prefix shingles are compared, and components found.  So a group of near
    copies costs a comparison for each member, not for each pair.
-5. *The rest.*  Groups that still span several components are joined with themselves across
-   components.  A pair needs as many common prefix shingles as its sizes demand.
-6. *Tiles.*  Pairs are compared in tiles by size band.  A tile holds each set once, with a hashed
-   parity bitmap; bits that differ bound the overlap from above, and the pairs left are
-   decided by intersecting the sorted arrays.
+5. *The rest.*  Groups that still span several components are compared across components.  Small
+   groups are joined with themselves; a pair needs as many common prefix shingles as its
+   sizes demand.  Large groups are cut into tiles of bounded size, ordered by set size; in
+   a tile the classes' hashed parity bitmaps are compared block by block, within the sizes that can
+   match: bits that differ bound the overlap from above, and only pairs within the bound leave it.
+6. *Decision.*  Pairs meet in tiles by size band, which hold each set once with its bitmap; pairs
+   within the bitmaps' bound are decided by intersecting the sorted arrays.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import durable
+from .common import durable, most_frequent, small_batches
 from .components import components
 
 WORDS = 5
@@ -39,8 +41,11 @@ COMMON = 1 << 17
 SALT_ROWS = 50_000
 #: Entries of a worker's cache of word hashes.
 CACHE = 300_000
-#: Bytes of sets in a tile.
+#: Bytes of sets in a tile (each set counted for each pair), and its pairs.
 TILE_BYTES = 12 << 20
+TILE_PAIRS = 20_000
+#: Groups of a shingle with more classes than this are compared in tiles of at most about so many rows a side.
+LARGE_GROUP, GROUP_TILE = 64, 2048
 #: Most document keys that are broadcast to pick the texts to compare (8 bytes each, about 50 in memory).
 PICK_ROWS = 1_000_000
 
@@ -84,7 +89,7 @@ class Shingler:
 class _Counter:
     """Frequent shingles of a task in bounded memory: the least frequent go when the table is full."""
 
-    def __init__(self, held: int = 100_000, buffer: int = 2_000_000):
+    def __init__(self, held: int = 100_000, buffer: int = 1_000_000):
         self.held, self.buffer = held, buffer
         self.keys, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         self.waiting, self.size = [], 0
@@ -181,8 +186,8 @@ def _prefixes(words: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Parity bitmap: bit i tells whether an odd number of shingles hash to i; about two bits for each shingle."""
-    bits = max(64, 1 << (2 * len(shingles) - 1).bit_length())
+    """Parity bitmap: bit i tells whether an odd number of shingles hash to i; eight bits or more for each shingle."""
+    bits = max(256, 1 << (8 * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -246,40 +251,100 @@ def _compare(percent: int):
     return run
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, n_a, b, n_b) of classes, those that are similar, as keys of representatives."""
-    spark = docs.sparkSession
-    pairs = durable(pairs.select("a", "n_a", "b", "n_b"), "jj-pairs")
-    wanted = pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1"))).distinct()
-    wanted = durable(classes.join(wanted, "s1").select("rep", "s1", "s2"), "jj-wanted")
+def _near(percent: int, one: bool):
+    """Of the classes in a tile, the pairs across labels (and, off the diagonal, across slices) that bitmaps don't rule out;
+    with ``one`` only the likeliest for each two labels."""
+    schema = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()), ("n_b", pa.int64())])
+    words = 4
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("n")
+        n, s1, label, part = (tile[c].to_numpy() for c in ("n", "s1", "label", "part"))
+        bits = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in tile["bits"]]
+        small = np.stack([folded(x, words) for x in bits])
+        cross = tile["lo"][0].as_py() != tile["hi"][0].as_py()
+        got: dict = {}
+        for at in range(0, len(n), 256):
+            end = min(at + 256, len(n))
+            last = int(np.searchsorted(n, n[end - 1] * 100 // percent, side="right"))
+            rows, cols = np.arange(at, end), np.arange(at, last)
+            differ = np.zeros((len(rows), len(cols)), dtype=np.int32)
+            for k in range(words):
+                differ += np.bitwise_count(small[rows, k][:, None] ^ small[cols, k][None, :])
+            both = n[rows][:, None] + n[cols][None, :]
+            least = -(-percent * both // (100 + percent))
+            ok = ((both - differ) // 2 >= least) & (label[rows][:, None] != label[cols][None, :]) & (rows[:, None] < cols[None, :])
+            if cross:
+                ok &= part[rows][:, None] != part[cols][None, :]
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                i, j = rows[i], cols[j]
+                spare = overlap_bound(int(n[i]), int(n[j]), bits[i], bits[j]) - -(-percent * int(n[i] + n[j]) // (100 + percent))
+                if spare < 0:
+                    continue
+                pair = (s1[i], n[i], s1[j], n[j]) if s1[i] < s1[j] else (s1[j], n[j], s1[i], n[i])
+                apart = (min(label[i], label[j]), max(label[i], label[j])) if one else pair
+                if apart not in got or got[apart][0] < spare:
+                    got[apart] = spare, pair
+        got = [pair for _, pair in got.values()]
+        return pa.Table.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(4)], schema=schema)
+
+    return run
+
+
+def _tiled(big: DataFrame, sets: DataFrame, percent: int, one: bool) -> DataFrame:
+    """Pairs of large groups that bitmaps don't rule out: the groups are cut into slices, and each two slices meet in a tile."""
+    slices = F.ceil(F.col("size") / GROUP_TILE).cast("int")
+    cut = big.withColumn("part", F.pmod(F.xxhash64("s1"), slices).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), slices - 1)))
+    cut = cut.select("shingle", F.least("part", "_k").alias("lo"), F.greatest("part", "_k").alias("hi"), "part", "s1", F.col("n").cast("long").alias("n"), "label")
+    cut = cut.join(sets.select("s1", "n", "bits"), ["s1", "n"])
+    return cut.groupBy("shingle", "lo", "hi").applyInArrow(_near(percent, one), "a long, n_a long, b long, n_b long").distinct()
+
+
+def _set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """Sets and bitmaps of the classes whose ``s1`` is wanted, from their representatives' texts."""
+    wanted = durable(classes.join(wanted.distinct(), "s1").select("rep", "s1", "s2"), "jj-wanted")
     reps = wanted.select(F.col("rep").alias("doc")).distinct()
     if reps.count() <= PICK_ROWS:
         reps = F.broadcast(reps)
     sets = docs.join(reps, "doc").mapInArrow(_sets(words), "rep long, s1 long, s2 long, n long, bits binary, shingles binary")
     # A key may repeat with another text: only the class that it stands for counts.
-    sets = durable(sets.join(wanted.hint("merge"), ["rep", "s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"]), "jj-sets")
+    return durable(sets.join(wanted.hint("merge"), ["rep", "s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"]), "jj-sets")
 
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("s1")).unionByName(pairs.select(F.col("b").alias("s1")))
+
+
+def _decided(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, n_a, b, n_b) of classes, those that are similar, as keys of representatives."""
     band = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.lit(float(np.log(1.25)))).cast("int")
     banded = pairs.withColumn("band_a", band("n_a")).withColumn("band_b", band("n_b"))
-    # One row for each pair of bands that sizes allow: a few hundred at most.
-    chunks = banded.groupBy("band_a", "band_b").agg(F.ceil(F.sum((F.col("n_a") + F.col("n_b")) * 8) / TILE_BYTES).cast("int").alias("chunks"))
-    tiled = banded.join(F.broadcast(chunks), ["band_a", "band_b"])
-    tiled = tiled.withColumn("tile", F.xxhash64("band_a", "band_b", F.pmod(F.xxhash64("b"), F.col("chunks")))).select("tile", "a", "b")
+    # One row for each pair of bands that sizes allow: a few hundred at most, so they go into the plan as a literal.
+    work = banded.groupBy("band_a", "band_b").agg(F.sum((F.col("n_a") + F.col("n_b")) * 10).alias("bytes"), F.count(F.lit(1)).alias("pairs")).collect()
+    chunks = {f"{r.band_a}:{r.band_b}": max(-(-int(r.bytes) // TILE_BYTES), -(-r.pairs // TILE_PAIRS)) for r in work}
+    of_band = F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv]) if chunks else F.create_map(F.lit(""), F.lit(1))
+    bands = F.concat_ws(":", "band_a", "band_b")
+    tiled = banded.withColumn("tile", F.xxhash64("band_a", "band_b", F.pmod(F.xxhash64("b"), F.element_at(of_band, bands)))).select("tile", "a", "b")
     held = tiled.select("tile", F.col("a").alias("s1")).unionByName(tiled.select("tile", F.col("b").alias("s1"))).distinct().join(sets, "s1")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = held.select("tile", "rep", "s1", "s2", "n", "bits", "shingles").unionByName(
-        tiled.select("tile", F.lit(None).cast("long").alias("rep"), F.col("a").alias("s1"), F.col("b").alias("s2"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("binary").alias("shingles"))
+        tiled.select("tile", none("long", "rep"), F.col("a").alias("s1"), F.col("b").alias("s2"), none("long", "n"), none("binary", "bits"), none("binary", "shingles"))
     )
-    out = rows.groupBy("tile").applyInArrow(_compare(percent), "a long, b long")
-    del spark
-    return durable(out, "jj-links")
+    return durable(rows.groupBy("tile").applyInArrow(_compare(percent), "a long, b long"), "jj-links")
 
 
-def _enough(common: str, percent: int) -> Column:
-    """Whether two sets that share so many prefix shingles, and any others, can be similar."""
+def _labelled(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the label of their component so far; a class without links is its own."""
+    names = classes.select("s1", "rep").join(found, F.col("rep") == F.col("node")).select("s1", F.xxhash64("component").alias("label"))
+    return members.join(names, "s1", "left").withColumn("label", F.coalesce("label", "s1"))
+
+
+def _enough(common: Column, percent: int) -> Column:
+    """Whether two sets that share at most so many prefix shingles, and any others, can be similar."""
     a, b = F.col("n_a"), F.col("n_b")
     least = F.ceil((a + b) * percent / (100 + percent) - F.lit(1e-9))
     rest = lambda n: F.ceil(n * percent / 100 - F.lit(1e-9)) - 1  # noqa: E731  what the prefix leaves
-    return F.col(common) >= least - F.greatest(rest(a), rest(b))
+    return common >= least - F.greatest(rest(a), rest(b))
 
 
 def jaccard_classes(docs: DataFrame, percent: int = 80, words: int = WORDS, text: str = "text", key: str = "doc_id", common: int = COMMON) -> DataFrame:
@@ -294,12 +359,14 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, words: int = WORDS, text
     Rows that repeat a key and text are rows of one class.  Null keys get the component of their class.
     Empty tables give empty results.  Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     first = durable(docs.mapInArrow(_classes(words), "doc long, n long, s1 long, s2 long, shingle long, times long"), "jj-first")
     rows = first.where("n IS NOT NULL").select("doc", "n", "s1", "s2")
     classes = durable(rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies")), "jj-classes")
 
-    often = first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(common).collect()
+    often = durable(first.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("times").alias("times")), "jj-often")
+    often = most_frequent(often, common).collect()
     often = np.array([(r.shingle, r.times) for r in often], dtype=np.int64).reshape(-1, 2)
     shingle, times = often[:, 0].copy().view(np.uint64), often[:, 1].copy()
     order = np.argsort(shingle)
@@ -314,23 +381,34 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, words: int = WORDS, text
 
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     hubs = shared.where(~alone).select(F.col("hub").alias("a"), F.col("n_hub").alias("n_a"), F.col("s1").alias("b"), F.col("n").alias("n_b")).where(fits)
-    hubs = hubs.groupBy("a", "n_a", "b", "n_b").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", percent))
-    links = _links(docs, classes, hubs, words, percent)
-    found = durable(components(links), "jj-found")
-
+    hubs = hubs.groupBy("a", "n_a", "b", "n_b").agg(F.count(F.lit(1)).alias("c")).where(_enough(F.col("c"), percent))
+    hubs = durable(hubs.drop("c"), "jj-pairs")
+    links = _decided(_set_table(docs, classes, _ends(hubs), words), hubs, percent)
     # The groups again, with their hubs, and the component that each class is in so far.
-    names = classes.select("s1", "rep").join(found, F.col("rep") == F.col("node")).select("s1", F.xxhash64("component").alias("label"))
-    members = shared.select("shingle", "s1", "n").unionByName(shared.select("shingle", F.col("hub").alias("s1"), F.col("n_hub").alias("n")).distinct())
-    members = members.distinct().join(names, "s1", "left").withColumn("label", F.coalesce("label", "s1"))
-    members = durable(members, "jj-members")
-    open_ = members.groupBy("shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("shingle")
-    members = members.join(open_, "shingle", "left_semi")
-    left = members.select("shingle", F.col("s1").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    right = members.select("shingle", F.col("s1").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
+    members = shared.select("shingle", "s1", "n").unionByName(shared.select("shingle", F.col("hub").alias("s1"), F.col("n_hub").alias("n")).distinct()).distinct()
+    members = durable(_labelled(members, classes, components(links)), "jj-members")
+    groups = members.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("shingle", "size")
+    members = durable(members.join(groups, "shingle"), "jj-open")
+
+    large = F.col("size") > LARGE_GROUP
+    big = members.where(large)
+    in_big = big.groupBy(F.col("s1").alias("_s")).agg(F.count(F.lit(1)).alias("big"))  # common shingles that small groups don't show
+    few = members.where(~large).join(in_big, F.col("s1") == F.col("_s"), "left").withColumn("big", F.coalesce("big", F.lit(0)))
+    side = lambda x: few.select("shingle", F.col("s1").alias(x), F.col("n").alias(f"n_{x}"), F.col("label").alias(f"label_{x}"), F.col("big").alias(f"big_{x}"))
     across = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & fits
-    rest = left.hint("merge").join(right.hint("merge"), "shingle").where(across)
-    rest = rest.groupBy("a", "n_a", "b", "n_b").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", percent))
-    links = links.unionByName(_links(docs, classes, rest, words, percent))
+    rest = side("a").hint("merge").join(side("b").hint("merge"), "shingle").where(across)
+    rest = rest.groupBy("a", "n_a", "b", "n_b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("big_a", "big_b")).alias("big"))
+    rest = durable(rest.where(_enough(F.col("c") + F.col("big"), percent)).drop("c", "big"), "jj-pairs")
+
+    sets = _set_table(docs, classes, _ends(rest).unionByName(in_big.select(F.col("_s").alias("s1"))), words)
+    # First each two components that meet in a tile send their likeliest pair, which joins most of what
+    # hangs together; then all pairs of what is still apart are decided.
+    likeliest = _decided(sets, durable(_tiled(big, sets, percent, True), "jj-pairs"), percent)
+    links = durable(links.unionByName(likeliest), "jj-links")
+    big = _labelled(big.drop("label"), classes, components(links))
+    near = _tiled(big, sets, percent, False)
+    pairs = durable(rest.select("a", F.col("n_a").cast("long"), "b", F.col("n_b").cast("long")).unionByName(near).distinct(), "jj-pairs")
+    links = links.unionByName(_decided(sets, pairs, percent))
 
     final = components(links).select(F.col("node").alias("rep"), "component")
     named = classes.join(final, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), F.col("copies").alias("n_copies"))
