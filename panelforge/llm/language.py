@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Feature slots: character n-grams are hashed to so many.
 SLOTS = 1 << 15
 #: Characters of the n-grams.
@@ -181,6 +183,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     Ties go to the language that sorts first.  Other columns are passed through; those
     with an output's name are replaced.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score", "languages")])
     schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType()))])
     return kept.mapInArrow(_predict(model, kept.columns.index(text)), schema)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import per_worker, small_batches
+
 BLANK = "▁"
 #: Entries that a worker keeps of its cache of encoded chunks.
 CACHE = 200_000
@@ -131,10 +133,11 @@ class PieceEncoder:
             return [np.array(x, dtype="<i4") for x in self.sp.encode(texts, num_threads=1)]
         # A chunk keeps all its blanks but the first, which stands for the blank that the library puts before it.
         chunks = [[t] if BLANK in t or "\0" in t else re.findall(r" ( *[^ ]+(?: +\Z)?| +\Z)", " " + t) if t else [] for t in texts]
-        missing = list(set().union(*map(set, chunks)) - self.cache.keys())
+        every = set().union(*chunks)
+        missing = [c for c in every if c not in self.cache]
         if len(self.cache) + len(missing) > CACHE:
             self.cache = {}
-            missing = list(set().union(*map(set, chunks)))
+            missing = list(every)
         for k in range(0, len(missing), 20_000):
             some = missing[k : k + 20_000]
             self.cache.update((c, np.array(x, dtype="<i4").tobytes()) for c, x in zip(some, self.sp.encode(some, num_threads=1), strict=True))
@@ -174,7 +177,7 @@ class PieceEncoder:
 
 def _encode(model: str, text_at: int, ends: bool, outputs: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(model)
+        encoder = per_worker(("pieces", model), lambda: PieceEncoder(model))
         tail = np.array([encoder.sp.eos_id()] if ends else [], dtype="<i4")
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
@@ -205,6 +208,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", end_id: bool
     that has an output's name is replaced.  An empty table gives an empty result.
     ``model`` is a file that every executor has.
     """
+    small_batches(docs.sparkSession)
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in outputs or c == text])
     kinds = {"ids": T.ArrayType(T.IntegerType()), "begins": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
     schema = T.StructType([*kept.schema.fields, *[T.StructField(o, kinds[o]) for o in outputs]])
