@@ -15,7 +15,7 @@ ROUNDS = 24
 
 @dataclass(frozen=True)
 class Mix:
-    """``documents``: the input with size, source_size, target and taken; ``shards``: slots drawn
+    """``documents``: the input with its size as ``_size``; ``shards``: slots drawn
     for each output shard and source; ``slots``: one row for each slot, with its block;
     ``pieces``: the words of each document that lie in each block."""
 
@@ -99,8 +99,8 @@ def mix(
     reruns agree.
     """
     passes = int(cap)
-    base = docs.withColumn("_row", F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`"))).withColumn("size", n_words(F.col(f"`{text}`")))
-    sized = durable(base.select(F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"), "_row", "size"), "mix-size")
+    base = docs.withColumn("_row", F.xxhash64(F.lit(seed), F.col(f"`{key}`"), F.col(f"`{text}`"))).withColumn("_size", n_words(F.col(f"`{text}`")))
+    sized = durable(base.select(F.col(f"`{source}`").alias("source"), F.col(f"`{key}`").alias("key"), "_row", F.col("_size").alias("size")), "mix-size")
     sources = source_targets(sized, weights, cap)
     blocks = F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")
     sources = sources.withColumn("blocks", blocks).withColumn("wanted", F.when(F.col("source_size") > 0, F.col("blocks") * F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
@@ -163,7 +163,8 @@ def mix_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", source:
     """
     m = mix(docs, text=text, key=key, source=source, **options)
     per_row = _taken(m, False).groupBy(F.col("key").alias("_k"), F.col("_row").alias("_r")).agg(F.sum("taken").alias("_t"), F.count(F.lit(1)).alias("_c"), F.max("taken").alias("_m"))
-    kept = m.documents.select(*docs.columns, "_row", "size")
+    made = ("size", "source_size", "target", "taken")  # columns of these names are replaced
+    kept = m.documents.select(*[f"`{c}`" for c in docs.columns if c not in made], "_row", F.col("_size").alias("size"))
     out = kept.join(per_row, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")), "left")
     facts = m.sources.select(F.col("source").alias("_s"), "source_size", "target")
     out = out.join(facts, F.col(f"`{source}`").eqNullSafe(F.col("_s")), "left")
@@ -181,9 +182,14 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", so
     out = m.documents.join(ranges, F.col(f"`{key}`").eqNullSafe(F.col("_k")) & (F.col("_row") == F.col("_r")))
     words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0))
     most = F.array_max(F.transform("_ranges", lambda r: r["uses"])).cast("int")
-    cut = lambda r: F.slice(F.col("_words"), (r["word"] + 1).cast("int"), r["words"].cast("int"))
-    passes = F.transform(F.sequence(F.lit(1), most), lambda p: F.flatten(F.transform(F.filter(F.col("_ranges"), lambda r: r["uses"] >= p), cut)))
-    out = out.withColumn("_words", words).withColumn(text, F.array_join(F.flatten(passes), " "))
+
+    def taken(w: Column) -> Column:
+        cut = lambda r: F.slice(w, (r["word"] + 1).cast("int"), r["words"].cast("int"))
+        passes = F.transform(F.sequence(F.lit(1), most), lambda p: F.flatten(F.transform(F.filter(F.col("_ranges"), lambda r: r["uses"] >= p), cut)))
+        return F.array_join(F.flatten(passes), " ")
+
+    # The words are bound once, as a lambda's variable; as a column they would be cut anew for every range.
+    out = out.withColumn(text, F.get(F.transform(F.array(words), taken), F.lit(0)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
