@@ -341,4 +341,17 @@ hit AS (SELECT symbol, avg(CASE WHEN s <> 0 AND r IS NOT NULL THEN CASE WHEN s =
     ),
     "time_folds": with_(BM + ", d AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT dt FROM bm)), f AS (SELECT dt, k, n // 6 AS size, n - (n // 6) * 5 AS first FROM d)", "SELECT dt, CAST(CASE WHEN k < first THEN 0 ELSE (k - first) // size + 1 END AS INT) AS fold FROM f"),
     "event_bars": f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS dt, event_type AS symbol, {r6('arg_min(value, (ts, event_id))', 'open')}, {r6('max(value)', 'high')}, {r6('min(value)', 'low')}, {r6('arg_max(value, (ts, event_id))', 'close')}, count(*) AS volume FROM events GROUP BY 1, 2",
+    "factor_rotation": with_(
+        WEIGHTS + """,
+rg AS (SELECT *, count(*) OVER f AS n, row_number() OVER (PARTITION BY dt, factor ORDER BY value DESC, symbol) AS u, row_number() OVER (PARTITION BY dt, factor ORDER BY value, symbol) AS d FROM lng WHERE fwd IS NOT NULL AND value IS NOT NULL WINDOW f AS (PARTITION BY dt, factor)),
+rr0 AS (SELECT dt, factor, avg(CASE WHEN u <= greatest(1, floor(n * 0.2)) THEN fwd END) - avg(CASE WHEN d <= greatest(1, floor(n * 0.2)) THEN fwd END) AS ret FROM rg WHERE n >= 5 GROUP BY 1, 2),
+rr AS (SELECT e.dt, e.factor, ret FROM (SELECT dt, unnest(['m1', 'm3', 'spread', 'vol']) AS factor FROM (SELECT DISTINCT dt FROM fac)) e LEFT JOIN rr0 ON rr0.dt = e.dt AND rr0.factor = e.factor),
+rm AS (SELECT dt, factor, avg(ret) OVER (PARTITION BY factor ORDER BY dt ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS m FROM rr),
+rk AS (SELECT dt, factor, m, count(m) OVER (PARTITION BY dt) AS k, row_number() OVER (PARTITION BY dt ORDER BY m DESC NULLS LAST, list_position(['m1', 'm3', 'spread', 'vol'], factor)) AS r FROM rm),
+rw AS (SELECT dt, factor, CASE WHEN k >= 3 THEN CASE WHEN m IS NULL THEN 0 ELSE (k - r + 1) / (k * (k + 1) / 2.0) END ELSE 0.25 END AS weight FROM rk),
+zq AS (SELECT dt, factor, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM lng GROUP BY 1, 2),
+zc AS (SELECT l.dt, symbol, l.factor, greatest(least(value, hi), lo) AS v FROM lng l JOIN zq ON zq.dt = l.dt AND zq.factor = l.factor WHERE value IS NOT NULL),
+zz AS (SELECT dt, symbol, factor, (v - avg(v) OVER p) / nullif(stddev_samp(v) OVER p, 0) AS z FROM zc WINDOW p AS (PARTITION BY dt, factor))""",
+        f"SELECT zz.dt, symbol, {r6('sum(z * weight) / sum(weight)', 'value')} FROM zz JOIN rw ON rw.dt = zz.dt AND rw.factor = zz.factor WHERE weight > 0 AND z IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3",
+    ),
 }

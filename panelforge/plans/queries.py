@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import by_symbol, div, pct_change
 from ..operators import alignment as A
+from ..operators import composites as C
 from ..operators import crosssection as X
 from ..operators import evaluate as E
 from ..operators import factors as Fa
@@ -244,6 +245,23 @@ def _(spark, sf):
     return r6(Fa.quality_increase(q), "increase")
 
 
+def _quality(variant: str):
+    def run(spark, sf):
+        signal = capped(spark, sf).select("dt", "symbol", "size").join(grid(spark, sf).select("dt", "symbol", "close"), ["dt", "symbol"])
+        return r6(C.quality_composite(signal, S.quarterly_statements(spark, sf), variant, S.industries(spark, sf)), "value")
+
+    return run
+
+
+for _v in C.VARIANTS:
+    QUERIES[f"composite_{_v}"] = _quality(_v)
+
+
+@query("factor_rotation")
+def _(spark, sf):
+    return r6(C.factor_rotation(factor_panel(spark, sf), FACTORS, least_factors=3), "value")
+
+
 def _weights(spark, sf):
     return P.top_k_weights(grid(spark, sf).withColumn("signal", pct_change("close", 5)))
 
