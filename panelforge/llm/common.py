@@ -3,40 +3,19 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.sources.staging import durable, shared_dir
+
 #: The characters of ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\f\r"
 #: A word, as a Java regular expression.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder as Parquet and reads it again.
-
-    This cuts lineage without tying blocks to an executor: a lost executor costs
-    the running tasks only.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds the rows of an Arrow batch, for workers that read whole texts."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -70,10 +49,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
 def numbered(
     df: DataFrame, group: list[str], order: list[Column], spread: Column, weight: Column | None, out: str, rows_per_cell: int = 20_000, rows: int | None = None
 ) -> DataFrame:
@@ -100,3 +75,6 @@ def numbered(
     cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     joined = local.join(shifts, cond, "left")
     return joined.withColumn(out, (F.col("_local") + F.col("_shift")).cast("long")).drop("_cell", "_w", "_local", "_shift", *[f"_k_{k}" for k in keys])
+
+
+__all__ = ["SPACES", "WORD", "durable", "most_frequent", "n_words", "numbered", "per_worker", "shared_dir", "small_batches"]
