@@ -68,6 +68,14 @@ def t_test(mean: float | None, std: float | None, n: int) -> tuple[float | None,
     return t, _beta_fraction((n - 1) / 2, 0.5, (n - 1) / (n - 1 + t * t))
 
 
+def benchmark_forward(bars: DataFrame, price: str = "close") -> DataFrame:
+    """(dt, symbol, total): running product of P[t+2] / P[t+1], unknown steps counting as none, less 1."""
+    lead = lambda k: F.lead(price, k).over(by_symbol())
+    step = bars.withColumn("_r", F.coalesce(div(lead(2), lead(1)) - 1, F.lit(0.0)))
+    w = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
+    return step.select("dt", "symbol", (F.product(1 + F.col("_r")).over(w) - 1).alias("total"))
+
+
 def icir(mean: Column, std: Column, period: int = 1, annual: bool = True, per_year: int = 252) -> Column:
     return div(mean, std) * F.lit(math.sqrt(per_year / period) if annual else 1 / math.sqrt(period))
 

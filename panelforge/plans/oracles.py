@@ -354,4 +354,16 @@ zc AS (SELECT l.dt, symbol, l.factor, greatest(least(value, hi), lo) AS v FROM l
 zz AS (SELECT dt, symbol, factor, (v - avg(v) OVER p) / nullif(stddev_samp(v) OVER p, 0) AS z FROM zc WINDOW p AS (PARTITION BY dt, factor))""",
         f"SELECT zz.dt, symbol, {r6('sum(z * weight) / sum(weight)', 'value')} FROM zz JOIN rw ON rw.dt = zz.dt AND rw.factor = zz.factor WHERE weight > 0 AND z IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3",
     ),
+    "stale_symbols": with_(
+        BM + ", have AS (SELECT symbol, max(dt) AS last_dt, count(*) AS n FROM bm WHERE symbol % 7 <> 0 OR dt < DATE '2001-06-01' GROUP BY 1)",
+        "SELECT s_suppkey AS symbol, last_dt, coalesce(n, 0) AS n FROM supplier LEFT JOIN have ON have.symbol = s_suppkey WHERE last_dt IS NULL OR last_dt + 30 < DATE '2001-11-30'",
+    ),
+    "symbol_codes": """
+WITH c AS (SELECT p_partkey, lpad(CAST(p_partkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS code FROM part),
+m AS (SELECT *, CASE WHEN code[1] = '6' THEN 'SH' WHEN code[1] IN ('4', '8') THEN 'BJ' ELSE 'SZ' END AS mkt FROM c)
+SELECT p_partkey, code || '.' || mkt AS suffixed, lower(mkt) || '.' || code AS prefixed FROM m""",
+    "benchmark_forward": with_(
+        BW + ", st AS (SELECT dt, symbol, coalesce(lead(l, 2) OVER w / nullif(lead(l, 1) OVER w, 0) - 1, 0) AS r FROM (SELECT dt, symbol, ln(close) AS l FROM bw) WINDOW w AS (PARTITION BY symbol ORDER BY dt))",
+        f"SELECT dt, symbol, {r6('product(1 + r) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1', 'total')} FROM st",
+    ),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import symbols as Y
 from ..functions.expressions import by_symbol, div, pct_change
 from ..operators import alignment as A
 from ..operators import composites as C
@@ -300,6 +301,26 @@ def _(spark, sf):
 QUERIES["class_labels"] = lambda spark, sf: M.class_labels(panel(spark, sf)).select("dt", "symbol", "label")
 QUERIES["time_folds"] = lambda spark, sf: M.time_folds(A.calendar(S.monthly_bars(spark, sf)))
 
+@query("stale_symbols")
+def _(spark, sf):
+    bars = S.monthly_bars(spark, sf).where("symbol % 7 <> 0 OR dt < DATE'2001-06-01'")
+    listing = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("symbol"), F.lit(None).cast("date").alias("delist_date"))
+    return S.stale_symbols(bars, listing, "2001-11-30")
+
+
+@query("symbol_codes")
+def _(spark, sf):
+    code = F.lpad((F.col("p_partkey") * 7919 % 1000000).cast("string"), 6, "0")
+    d = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", code.alias("code"))
+    return d.select("p_partkey", Y.with_suffix(F.col("code")).alias("suffixed"), Y.with_prefix(F.col("code")).alias("prefixed"))
+
+
+@query("benchmark_forward")
+def _(spark, sf):
+    damped = S.weekly_bars(spark, sf).withColumn("close", F.log("close"))
+    return r6(E.benchmark_forward(damped), "total")
+
+
 QUERIES["event_bars"] = lambda spark, sf: r6(B.tumbling_bars(spark.read.parquet(f"{sf}/events.parquet")), "open", "high", "low", "close")
 
 __all__ = ["ORACLES", "QUERIES"]

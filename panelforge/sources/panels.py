@@ -73,6 +73,14 @@ def warm_up(df: DataFrame, start: str, years: int = 1) -> DataFrame:
     return df.where((F.col("dt") >= F.add_months(s, -12 * years)) & (F.col("dt") < s))
 
 
+def stale_symbols(bars: DataFrame, listing: DataFrame, today: str, tolerance: int = 30) -> DataFrame:
+    """(symbol, last_dt, n): listed symbols whose last bar lies more than ``tolerance`` days before the end of their listing (or today), or that have none."""
+    have = bars.groupBy("symbol").agg(F.max("dt").alias("last_dt"), F.count(F.lit(1)).alias("n"))
+    end = F.least(F.coalesce("delist_date", F.lit(today).cast("date")), F.lit(today).cast("date"))
+    out = listing.join(have, "symbol", "left").where(F.col("last_dt").isNull() | (F.date_add("last_dt", tolerance) < end))
+    return out.select("symbol", "last_dt", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def symbols_of(df: DataFrame) -> DataFrame:
     return df.select("symbol").distinct()
 
