@@ -80,16 +80,20 @@ def icir(mean: Column, std: Column, period: int = 1, annual: bool = True, per_ye
     return div(mean, std) * F.lit(math.sqrt(per_year / period) if annual else 1 / math.sqrt(period))
 
 
+#: An IC counts as positive above this: exact zeros carry rounding noise of either sign.
+NOISE = 1e-12
+
+
 def ic_summary(ic: DataFrame, period: int = 1) -> DataFrame:
     """One row: mean, std, ICIR, t, share of positive ICs (of all dates) and number of dates."""
     mean, std, n = F.avg("ic"), F.stddev_samp("ic"), F.count("ic")
-    positive = F.sum(F.when(F.col("ic") > 0, 1).otherwise(0))
+    positive = F.sum(F.when(F.col("ic") > NOISE, 1).otherwise(0))
     return ic.agg(mean.alias("ic_mean"), std.alias("ic_std"), F.when(n >= 2, icir(mean, std, period)).alias("icir"), div(mean * F.sqrt(n), std).alias("t_stat"), div(positive, F.count(F.lit(1))).alias("positive_ratio"), n.alias("n"))
 
 
 def yearly_ic(ic: DataFrame) -> DataFrame:
     mean, std = F.avg("ic"), F.stddev_samp("ic")
-    return ic.where("ic IS NOT NULL").groupBy(F.year("dt").alias("year")).agg(mean.alias("ic_mean"), std.alias("ic_std"), div(mean, std).alias("icir"), div(F.sum(F.when(F.col("ic") > 0, 1).otherwise(0)), F.count(F.lit(1))).alias("positive_ratio"), F.count(F.lit(1)).alias("n"))
+    return ic.where("ic IS NOT NULL").groupBy(F.year("dt").alias("year")).agg(mean.alias("ic_mean"), std.alias("ic_std"), div(mean, std).alias("icir"), div(F.sum(F.when(F.col("ic") > NOISE, 1).otherwise(0)), F.count(F.lit(1))).alias("positive_ratio"), F.count(F.lit(1)).alias("n"))
 
 
 def ic_decay(panel: DataFrame, factor: str = "factor", ret: str = "fwd_ret", most: int = 20) -> DataFrame:

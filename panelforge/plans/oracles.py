@@ -207,8 +207,8 @@ ORACLES: dict[str, str] = {
     "dense_grid": with_(BM, f"SELECT dt, symbol, CAST(i AS INT) AS i, {r6('close', 'close')} FROM bmg"),
     "ic_series_rank": with_(IC, f"SELECT dt, {r6('ic', 'ic')} FROM ic"),
     "ic_series_pearson": with_(PAIRS, f"SELECT dt, {r6('CASE WHEN count(*) >= 3 THEN ' + corr('factor', 'fwd_ret') + ' END', 'ic')} FROM pairs GROUP BY 1"),
-    "ic_summary": with_(IC, f"SELECT {r6('avg(ic)', 'ic_mean')}, {r6('stddev_samp(ic)', 'ic_std')}, {r6('avg(ic) / stddev_samp(ic) * sqrt(252 / 21.0)', 'icir')}, {r6('avg(ic) * sqrt(count(ic)) / stddev_samp(ic)', 't_stat')}, {r6('sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END) / count(*)', 'positive_ratio')}, count(ic) AS n FROM ic"),
-    "yearly_ic": with_(IC, f"SELECT CAST(year(dt) AS INT) AS year, {r6('avg(ic)', 'ic_mean')}, {r6('stddev_samp(ic)', 'ic_std')}, {r6('avg(ic) / nullif(stddev_samp(ic), 0)', 'icir')}, {r6('sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END) / count(*)', 'positive_ratio')}, count(*) AS n FROM ic WHERE ic IS NOT NULL GROUP BY 1"),
+    "ic_summary": with_(IC, f"SELECT {r6('avg(ic)', 'ic_mean')}, {r6('stddev_samp(ic)', 'ic_std')}, {r6('avg(ic) / stddev_samp(ic) * sqrt(252 / 21.0)', 'icir')}, {r6('avg(ic) * sqrt(count(ic)) / stddev_samp(ic)', 't_stat')}, {r6('sum(CASE WHEN ic > 1e-12 THEN 1 ELSE 0 END) / count(*)', 'positive_ratio')}, count(ic) AS n FROM ic"),
+    "yearly_ic": with_(IC, f"SELECT CAST(year(dt) AS INT) AS year, {r6('avg(ic)', 'ic_mean')}, {r6('stddev_samp(ic)', 'ic_std')}, {r6('avg(ic) / nullif(stddev_samp(ic), 0)', 'icir')}, {r6('sum(CASE WHEN ic > 1e-12 THEN 1 ELSE 0 END) / count(*)', 'positive_ratio')}, count(*) AS n FROM ic WHERE ic IS NOT NULL GROUP BY 1"),
     "ic_decay": with_(
         PAIRS + f""",
 lagged AS (SELECT dt, factor, k, r FROM (SELECT dt, factor, {', '.join(f'lead(fwd_ret, {k}) OVER w AS r{k}' for k in range(6))} FROM pairs0 {_WS}), LATERAL (SELECT unnest(range(0, 6)) AS k, unnest([{', '.join(f'r{k}' for k in range(6))}]) AS r) WHERE factor IS NOT NULL AND r IS NOT NULL),
