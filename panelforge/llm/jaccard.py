@@ -40,7 +40,7 @@ COMMON = 1 << 17
 #: Rows of a shingle, as counted, beyond which it is spread over salts.
 SALT_ROWS = 50_000
 #: Entries of a worker's cache of word hashes.
-CACHE = 300_000
+CACHE = 150_000
 #: Bytes of sets in a tile (each set counted for each pair), and its pairs.
 TILE_BYTES = 12 << 20
 TILE_PAIRS = 20_000
