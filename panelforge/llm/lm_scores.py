@@ -1,20 +1,19 @@
-"""Language-model scores: stupid backoff over bigrams of a closed vocabulary, fitted on the corpus that it scores.
+"""Language-model scores: stupid backoff over n-grams of all words, fitted on the corpus that it scores.
 
-Tables and their keys:
+Words are keyed by 64-bit hashes and n-grams by hashes of those, so no vocabulary is kept.  Tables and their keys:
 
-* words and their counts, by word; the ``VOCABULARY`` most frequent get ids, the others share id 0;
-* bigram counts, partitioned by a hash of the bigram into buckets.  The bigrams of each
-  document are exploded to the buckets, counted there, joined to their counts and scored;
-* scores, by chunk of documents, where they are summed per document.
+* counts of the n-grams of each order, words being order 1, partitioned by ranges of the hash into buckets.
+  A chunk of documents sends each of its distinct n-grams to its bucket once, with its sum; the
+  bucket adds the sums of all chunks and sends the totals back;
+* the words of a chunk's documents, by chunk, where the totals are joined to them and scores are summed per document.
 
-Rows are packed: one for each chunk of documents and bucket.  A bigram that many documents of
-a chunk have is sent once for the chunk, with its sum, and its value is sent back; so
-a bigram in a third of all documents reaches its bucket as a row for each chunk.
+Rows are packed: one for each chunk and bucket.  An n-gram in a third of all documents reaches its
+bucket as a number for each chunk.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,25 +22,28 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, most_frequent, small_batches
+from .common import per_worker, small_batches
 
-#: Words with an id of their own; the model's bounded part, about 20 bytes each.
-VOCABULARY = (1 << 17) - 1
-BITS = 17
+#: Longest n-grams of the model.
+ORDER = 2
 #: Factor for each step back.
 ALPHA = 0.4
-#: Bigrams that are rarer in the corpus count as unseen.
+#: Longer n-grams than words that are rarer in the corpus count as unseen.
 CUTOFF = 2
 #: Documents and words after which a chunk closes.
 CHUNK_DOCS, CHUNK_WORDS = 2048, 1 << 21
-#: A bigram that so many documents of a chunk have goes to its bucket once.
+#: Not read any more: every n-gram of a chunk goes to its bucket once, whatever the number of its documents.
 SHARED_DOCS = 16
-#: Bigrams of documents in a bucket.
+#: N-grams of chunks in a bucket, at most.
 BUCKET_ROWS = 2_000_000
+#: Hashes of words that a worker keeps.
+CACHE = 200_000
 #: Scores are sums of whole micro-nats: their order doesn't matter.
 UNIT = 1e6
 
-PACKED = "place long, chunk long, bucket int, grams binary, doc binary, tf binary, hot binary, hot_tf binary, ids binary, words binary, base binary"
+NAMES = ["place", "chunk", "bucket", "grams", "times", "ids", "lengths"]
+PACKED = "place long, chunk long, bucket int, grams binary, times binary, ids binary, lengths binary"
+KINDS = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -49,92 +51,91 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: Counter = Counter()
+    total = sum(len(_words(text.as_py())) for batch in batches for text in batch.column(0))
+    yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["times"])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "times"])
 
-    for batch in batches:
-        for text in batch.column(0):
-            total.update(_words(text.as_py()))
-        if len(total) > 1_000_000:
-            yield out()
-            total.clear()
-    yield out()
+class _Hashes(dict):
+    def __missing__(self, word):
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
 
 
-class _Ids(dict):
-    def __missing__(self, word):
-        return 0
+def _longer(grams: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams that are one word longer."""
+    h = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-def _pack_grams(g: np.ndarray) -> bytes:
-    """The five bytes of each bigram that can be other than 0."""
-    return g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _by_order(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order the positions in ``words`` where its n-grams end, and their hashes; none crosses documents."""
+    inside = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    ends, grams = np.arange(len(words)), words
+    for n in range(1, order + 1):
+        if n > 1:
+            kept = inside[ends] >= n - 1
+            ends = ends[kept]
+            grams = _longer(before[ends - 1], words[ends])
+        before = np.zeros(len(words), dtype=np.uint64)
+        before[ends] = grams
+        yield ends, grams
 
 
-def _grams(data) -> np.ndarray:
-    five = np.frombuffer(data, dtype=np.uint8).reshape(-1, 5)
-    out = np.zeros((len(five), 8), dtype=np.uint8)
-    out[:, :5] = five
-    return out.view("<u8").reshape(-1)
+def _packed(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next: equal ones lie together and compress well."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unpacked(data, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
 
+def _packed_grams(every: np.ndarray) -> bytes:
+    """Sorted hashes, as the steps between them."""
+    return _packed(np.diff(every, prepend=np.uint64(0)))
 
-def _bucket_of(g: np.ndarray, buckets: int) -> np.ndarray:
-    h = g * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
+def _grams(data) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
+
+
+def _bucket_starts(every: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the buckets, which are equal ranges of hashes, begin and end in sorted hashes."""
+    bounds = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
+    return np.append(np.searchsorted(every, bounds), len(every))
 
-def _exploded(vocabulary, buckets: int):
-    names = [f.split()[0] for f in PACKED.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 8]
 
+def _exploded(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = vocabulary.value
-        ids = _Ids(zip(words, range(1, len(words) + 1), strict=True))
-        first_log = np.rint(UNIT * (np.log(np.maximum(counts, 1)) - np.log(max(counts.sum(), 1)))).astype(np.int64)
+        hashes = per_worker(("lm-words",), _Hashes)
         chunk = TaskContext.get().partitionId() << 32
         docs, texts, size = [], [], 0
 
         def close() -> pa.RecordBatch:
-            lengths = np.array([len(t) for t in texts])
-            flat = np.concatenate([np.empty(0, np.uint64), *texts])
-            starts = np.cumsum(lengths) - lengths
-            base = np.zeros(len(texts), dtype=np.int64)
-            base[lengths > 0] = first_log[flat[starts[lengths > 0]].astype(np.int64)]
-            owner = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
-            same = owner[1:] == owner[:-1]
-            keys, tf = np.unique((((flat[:-1] << np.uint64(BITS)) | flat[1:])[same] << np.uint64(11)) | owner[:-1][same], return_counts=True)
-            g, d = keys >> np.uint64(11), (keys & np.uint64(2047)).astype(np.uint16)
-            edge = np.flatnonzero(np.r_[True, g[1:] != g[:-1]]) if len(g) else np.empty(0, np.int64)
-            runs = np.diff(np.r_[edge, len(g)])
-            hot_run = runs >= SHARED_DOCS
-            hot_entry = np.repeat(hot_run, runs)
-            sums = np.add.reduceat(tf, edge) if len(g) else tf
-            hot, hot_tf = g[edge][hot_run], sums[hot_run]
-            by = np.argsort(_bucket_of(hot, buckets), kind="stable")
-            place = np.empty(len(by), dtype=np.uint32)
-            place[by] = np.arange(len(by))
-            hot_at = np.searchsorted(_bucket_of(hot, buckets)[by], np.arange(buckets + 1))
-            light = np.flatnonzero(~hot_entry)
-            of = _bucket_of(g[light], buckets)
-            light = light[np.argsort(of, kind="stable")]
-            light_at = np.searchsorted(np.sort(of), np.arange(buckets + 1))
-            rows = []
-            for b in range(buckets):
-                e, h = light[light_at[b] : light_at[b + 1]], by[hot_at[b] : hot_at[b + 1]]
-                if len(e) or len(h):
-                    rows.append((b, chunk, b, _pack_grams(g[e]), d[e].tobytes(), tf[e].astype("<u4").tobytes(), _pack_grams(hot[h]), hot_tf[h].astype("<u8").tobytes(), None, None, None))
-            which = np.repeat(place, runs[hot_run])
-            rows.append((buckets + chunk, chunk, -1, None, d[hot_entry].tobytes(), tf[hot_entry].astype("<u4").tobytes(), which.tobytes(), None, np.array(docs, dtype="<i8").tobytes(), lengths.astype("<i8").tobytes(), base.tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            words, rows = np.concatenate(texts), []
+            for n, (_, grams) in enumerate(_by_order(words, lengths, order)):
+                every, times = np.unique(grams, return_counts=True)
+                at = _bucket_starts(every, buckets)
+                for b in np.flatnonzero(np.diff(at)).tolist():
+                    part, bucket = slice(at[b], at[b + 1]), n * buckets + b
+                    rows.append((bucket, chunk, bucket, _packed_grams(every[part]), _packed(times[part].astype("<u4")), None, None))
+            # The documents' own row: distinct words, and the place of each word among them.
+            every, which = np.unique(words, return_inverse=True)
+            rows.append((order * buckets + chunk, chunk, -1, _packed_grams(every), _packed(which.astype("<u4")), np.array(docs, dtype="<i8").tobytes(), lengths.tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = _words(text.as_py())
                 docs.append(np.iinfo(np.int64).min if doc is None else doc)
-                texts.append(np.fromiter(map(ids.__getitem__, tokens), dtype=np.uint64, count=len(tokens)))
+                texts.append(np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens)))
                 size += len(tokens)
+                if len(hashes) > CACHE:
+                    hashes.clear()
                 if len(docs) >= CHUNK_DOCS or size >= CHUNK_WORDS:
                     yield close()
                     chunk, docs, texts, size = chunk + 1, [], [], 0
@@ -144,79 +145,65 @@ def _exploded(vocabulary, buckets: int):
     return run
 
 
-def _joined(vocabulary, alpha: float, cutoff: int):
-    """A bucket's bigrams with their counts: what the documents of each chunk gain, and the values of shared bigrams."""
+def _totals(group: pa.Table) -> pa.Table:
+    """A bucket's n-grams: for each chunk, how often the corpus has those that it sent."""
+    if group["bucket"][0].as_py() < 0:  # a chunk's own row passes
+        return group.drop_columns(["place"])
+    sent = [_grams(g.as_buffer()) for g in group["grams"]]
+    every, inverse = np.unique(np.concatenate(sent), return_inverse=True)
+    times = np.concatenate([_unpacked(t.as_buffer(), "<u4") for t in group["times"]])
+    total = np.bincount(inverse, weights=times, minlength=len(every)).astype("<i8")[inverse]
+    parts = np.split(total, np.cumsum([len(g) for g in sent])[:-1])
+    none = pa.nulls(len(sent), pa.binary())
+    return pa.Table.from_arrays([group["chunk"], group["bucket"], none, pa.array([_packed(p) for p in parts], pa.binary()), none, none], NAMES[1:])
 
+
+def _summed(order: int, alpha: float, cutoff: int, n_words: int):
     def run(group: pa.Table) -> pa.Table:
-        if group["bucket"][0].as_py() < 0:  # a chunk's own row passes
-            return group.select(["chunk", "bucket", "doc", "tf", "hot", "ids", "words", "base"])
-        _, counts = vocabulary.value
-        logs = np.log(np.maximum(counts, 1))
-        total = np.log(max(counts.sum(), 1))
-        rows = group.to_pylist()
-        light, hot = [_grams(r["grams"]) for r in rows], [_grams(r["hot"]) for r in rows]
-        tfs, hot_tfs = [np.frombuffer(r["tf"], "<u4") for r in rows], [np.frombuffer(r["hot_tf"], "<u8") for r in rows]
-        every, inverse = np.unique(np.concatenate([*light, *hot]), return_inverse=True)
-        times = np.bincount(inverse, weights=np.concatenate([*tfs, *hot_tfs]), minlength=len(every))
-        w1, w2 = (every >> np.uint64(BITS)).astype(np.int64), (every & np.uint64((1 << BITS) - 1)).astype(np.int64)
-        value = np.rint(UNIT * np.where(times >= cutoff, np.log(np.maximum(times, 1)) - logs[w1], np.log(alpha) + logs[w2] - total)).astype(np.int64)
-        ends = np.cumsum([len(x) for x in [*light, *hot]])
-        parts = np.split(value[inverse], ends[:-1])
-        out = []
-        for i, r in enumerate(rows):
-            d = np.frombuffer(r["doc"], np.uint16)
-            gain = np.bincount(d, weights=parts[i] * tfs[i].astype(np.int64)) if len(d) else np.empty(0)
-            some = np.flatnonzero(np.bincount(d)) if len(d) else np.empty(0, np.int64)
-            out.append((r["chunk"], r["bucket"], some.astype(np.uint16).tobytes(), gain[some].astype("<i8").tobytes(), parts[len(rows) + i].astype("<i4").tobytes(), None, None, None))
-        names = ["chunk", "bucket", "doc", "tf", "hot", "ids", "words", "base"]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64(), pa.int32(), *[pa.binary()] * 6], strict=True)], names)
+        rows = sorted(group.to_pylist(), key=lambda r: r["bucket"])
+        own, replies = rows[0], rows[1:]
+        docs, lengths = np.frombuffer(own["ids"], "<i8"), np.frombuffer(own["lengths"], "<i8")
+        words = _grams(own["grams"])[_unpacked(own["times"], "<u4")]
+        totals = np.concatenate([np.empty(0, np.int64), *[_unpacked(r["times"], "<i8") for r in replies]])
+        # From words upward: the longest n-gram that is seen often enough stands; each longer one that is not adds a step back.
+        value, base, at = np.zeros(len(words)), np.empty(0), 0
+        for n, (ends, grams) in enumerate(_by_order(words, lengths, order), 1):
+            found, inverse = np.unique(grams, return_inverse=True)
+            times = totals[at : at + len(found)][inverse]
+            at += len(found)
+            logs = np.log(np.maximum(times, 1))
+            if n == 1:
+                value = logs - np.log(max(n_words, 1))
+            else:
+                value[ends] = np.where(times >= cutoff, logs - base[ends - 1], np.log(alpha) + value[ends])
+            base = np.zeros(len(words))
+            base[ends] = logs
+        upto = np.concatenate([[0], np.cumsum(np.rint(UNIT * value).astype(np.int64))])
+        stop = np.cumsum(lengths)
+        none = docs == np.iinfo(np.int64).min
+        return pa.Table.from_arrays([pa.array(docs, mask=none), pa.array(lengths), pa.array(upto[stop] - upto[stop - lengths])], ["doc", "n_words", "micro"])
 
     return run
 
 
-def _summed(group: pa.Table) -> pa.Table:
-    rows = sorted(group.to_pylist(), key=lambda r: r["bucket"])
-    own, replies = rows[0], rows[1:]
-    docs, words = np.frombuffer(own["ids"], "<i8"), np.frombuffer(own["words"], "<i8")
-    score = np.frombuffer(own["base"], "<i8").copy()
-    for r in replies:
-        score[np.frombuffer(r["doc"], np.uint16)] += np.frombuffer(r["tf"], "<i8")
-    values = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(r["hot"], "<i4") for r in replies]]).astype(np.int64)
-    d = np.frombuffer(own["doc"], np.uint16)
-    if len(d):
-        gain = np.bincount(d, weights=values[np.frombuffer(own["hot"], "<u4")] * np.frombuffer(own["tf"], "<u4").astype(np.int64), minlength=len(docs))
-        score += gain.astype(np.int64)
-    none = docs == np.iinfo(np.int64).min
-    return pa.Table.from_arrays([pa.array(docs, mask=none), pa.array(words), pa.array(score)], ["doc", "n_words", "micro"])
-
-
-def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, alpha: float = ALPHA, cutoff: int = CUTOFF, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: the key, ``n_words``, ``score`` (natural log) and ``per_word``.
 
-    Words are lower-cased (A-Z) and separated by ASCII white space.  All documents are counted.  A word
+    Words are lower-cased (A-Z) and separated by ASCII white space.  All documents and all words are counted.  A word
     after w1 scores ``c(w1 w) / c(w1)`` if the bigram's count is ``cutoff`` or more, else
-    ``alpha * c(w) / N``; a document's first word ``c(w) / N``.  Words beyond the
-    ``vocabulary`` most frequent (a tie at the limit goes as a whole) count as one word.  Each logarithm is rounded to a
-    millionth, and the sums are exact.
+    ``alpha * c(w) / N``; a document's first word ``c(w) / N``.  Each logarithm is rounded to a
+    millionth, and the sums are exact.  N-grams are told apart by 64-bit hashes.
 
     A null or empty text scores 0 with a null ``per_word``; repeated rows are scored, and counted, each; null keys are kept;
     an empty table gives an empty result.  Other columns are ignored.
     """
-    if vocabulary >= 1 << BITS:
-        raise ValueError(f"at most {(1 << BITS) - 1} words")
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
+    order = ORDER
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    counted = durable(rows.select("text").mapInArrow(_count, "word binary, times long").groupBy("word").agg(F.sum("times").alias("times")), "lm-words")
-    total = counted.agg(F.sum("times")).first()[0] or 0
-    top = sorted(most_frequent(counted, vocabulary).collect(), key=lambda r: (-r.times, bytes(r.word)))
-    counts = np.array([0, *[r.times for r in top]], dtype=np.int64)
-    counts[0] = total - counts.sum()
-    shared = spark.sparkContext.broadcast(([bytes(r.word) for r in top], counts))
+    total = rows.select("text").mapInArrow(_count, "times long").agg(F.sum("times")).first()[0] or 0
     buckets = max(4, -(-total // BUCKET_ROWS))
-    packed = rows.mapInArrow(_exploded(shared, buckets), PACKED)
-    out = "chunk long, bucket int, doc binary, tf binary, hot binary, ids binary, words binary, base binary"
-    scored = packed.groupBy("place").applyInArrow(_joined(shared, alpha, cutoff), out)
-    summed = scored.groupBy("chunk").applyInArrow(_summed, "doc long, n_words long, micro long")
+    packed = rows.mapInArrow(_exploded(order, buckets), PACKED)
+    totals = packed.groupBy("place").applyInArrow(_totals, PACKED.removeprefix("place long, "))
+    summed = totals.groupBy("chunk").applyInArrow(_summed(order, alpha, cutoff, total), "doc long, n_words long, micro long")
     score = F.col("micro") / F.lit(UNIT)
     return summed.select(F.col("doc").alias(key), "n_words", score.alias("score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("per_word"))

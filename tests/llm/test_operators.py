@@ -335,6 +335,15 @@ def test_scores_equal_brute_force(docs, empty, monkeypatch):
     assert score_documents(empty).count() == 0
 
 
+def test_every_word_is_counted(spark):
+    """More distinct words than the 131,071 that once had an id of their own; rare ones keep their own counts."""
+    texts = [" ".join(f"w{i}" for i in range(k, k + 7000)) for k in range(0, 140_000, 7000)] + ["rare pair", "rare pair other", "w5 w6 rare"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.score) for r in score_documents(df).collect()}
+    for i, (n, score) in enumerate(brute_scores(texts)):
+        assert got[i][0] == n and abs(got[i][1] - score) < 1e-6 * n
+
+
 # ---- 6: nearest neighbours
 
 
