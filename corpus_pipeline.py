@@ -49,9 +49,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids with an end id, their number, and whether decoding gives the text back."""
-    out = encode_pieces(docs, tokenizer("piece_bpe_32k.model"), outputs=("ids", "decoded"))
-    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"), "ids")
+    """Ids with an end id, their number, a hash of their spans, and whether decoding gives the text back."""
+    out = encode_pieces(docs, tokenizer("piece_bpe_32k.model"))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("begins", "ends").alias("spans_xxhash64"), (F.col("decoded") == F.col("text")).alias("round_trip"), "ids")
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("n-gram Jaccard join", near), ("mixing", mixed), ("SentencePiece", pieces)]

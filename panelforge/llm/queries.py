@@ -45,9 +45,9 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text")
-    out = encode_pieces(docs, tokenizer("piece_bpe_32k.model"), outputs=("ids", "decoded"))
+    out = encode_pieces(docs, tokenizer("piece_bpe_32k.model"))
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.xxhash64("begins", "ends").alias("spans_xxhash64"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -216,6 +216,21 @@ def test_piece_spans_equal_the_library():
         assert list(zip(ids.tolist(), b.tolist(), e.tolist(), strict=True)) == [(p.id, p.begin, p.end) for p in sp.encode(t, return_type="proto").pieces]
 
 
+def test_registered_stages_carry_the_spans(spark):
+    import corpus_pipeline
+
+    sp, d = library(), spark.read.parquet(f"{SMALL}/documents.parquet").limit(40)
+    spans = []
+    for r in d.select("doc_id", "text").collect():
+        pieces, n = sp.encode(r.text or "", return_type="proto").pieces, len((r.text or "").encode())
+        spans.append((r.doc_id, [*[p.begin for p in pieces], n], [*[p.end for p in pieces], n]))
+    want = spark.createDataFrame(spans, "doc_id long, b array<int>, e array<int>").select("doc_id", F.xxhash64("b", "e").alias("h"))
+    want = {r.doc_id: r.h for r in want.collect()}
+    got = {r.doc_id: r.spans_xxhash64 for r in Q.op3_pieces(spark, SMALL).collect()}
+    assert want and all(got[k] == h for k, h in want.items())
+    assert {r.doc_id: r.spans_xxhash64 for r in corpus_pipeline.pieces(spark, d, SMALL).collect()} == want
+
+
 def test_character_map_takes_the_longest_prefix():
     """A double array for the keys "a" -> "x" and "ab" -> "yz", laid out by hand."""
     units = [0] * 1024
