@@ -14,6 +14,8 @@ from .common import durable
 
 #: Rows of a bucket, of either side, that one task compares at a time.
 TILE = 4096
+#: The largest norm of a range over its smallest, at most.
+NORM_RANGE = 1.25
 
 
 class CrossPolytope:
@@ -72,27 +74,34 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _lifted(x: np.ndarray, norm: float, query: bool) -> np.ndarray:
-    """With ``norm`` above 0, one more component makes the largest inner product the smallest angle."""
-    if not norm:
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-    if query:
-        return np.pad(x / np.linalg.norm(x, axis=1, keepdims=True), ((0, 0), (0, 1)))
-    x = x / norm
-    return np.concatenate([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
+def _directions(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hashed(index: CrossPolytope, dim: int, norm: float, query: bool):
+def _hashed(indexes: dict[int, CrossPolytope], dim: int, query: bool):
+    """Rows (rep, vec, range) go to the buckets of their own norm range, queries (rep, vec) to those of every range."""
+    ranges = sorted(indexes)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
-                x = _lifted(_matrix(part.column(1), dim), norm, query)
-                codes = index.probed(x) if query else index.buckets(x)[:, :, None]
-                n, tables, each = codes.shape
-                rows = pa.array(np.repeat(np.arange(n), tables * each))
-                table = np.tile(np.repeat(np.arange(tables), each), n).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(table), pa.array(codes.reshape(-1)), part.column(0).take(rows), part.column(1).take(rows)], ["tab", "bucket", "rep", "vec"])
+                x = _directions(_matrix(part.column(1), dim))
+                own, made = None if query else part.column(2).to_numpy(), {}
+                for r in ranges:
+                    index = indexes[r]
+                    which = np.arange(len(x)) if query else np.flatnonzero(own == r)
+                    if not len(which):
+                        continue
+                    if query and id(index) not in made:  # ranges of about a size share an index
+                        made[id(index)] = index.probed(x)
+                    codes = made[id(index)] if query else index.buckets(x[which])[:, :, None]
+                    n, tables, each = codes.shape
+                    rows = pa.array(np.repeat(which, tables * each))
+                    table = np.tile(np.repeat(np.arange(tables), each), n).astype(np.int32)
+                    in_range = pa.array(np.full(len(rows), r, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([in_range, pa.array(table), pa.array(codes.reshape(-1)), part.column(0).take(rows), part.column(1).take(rows)], ["range", "tab", "bucket", "rep", "vec"])
 
     return run
 
@@ -140,7 +149,9 @@ def nearest(
     tasks; nothing caps candidates.  Candidates are ranked by inner products in
     double precision, ties to the smaller key; a row is never its own neighbour.
 
-    ``hashes`` per table follows the number of distinct vectors, for buckets of about a
+    Rows are split into ranges of norms, of a factor ``NORM_RANGE`` each, counted from the largest norm down.  Each range
+    is hashed by direction and every query searches all of them, so no norm hides another.
+    ``hashes`` per table follows the number of distinct vectors of the range, for buckets of about a
     thousand (up to a thousand vectors share the one bucket of no hash); ``tables`` and ``probes`` follow ``hashes``: measured recall at 20 against brute force is
     0.95 or more for vectors without structure (see the tests and README).
 
@@ -157,35 +168,42 @@ def nearest(
     same = Window.partitionBy("vec").orderBy("id")
     first = rows.select("vec", "id").dropDuplicates(["vec", "id"]).withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1)
     groups = durable(first.groupBy("vec").agg(F.min("id").alias("rep"), F.sort_array(F.collect_list("id")).alias("ids")), "nn-groups")
-    norm2 = F.aggregate("vec", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    n, least, most = groups.agg(F.count(F.lit(1)), F.min(norm2), F.max(norm2)).first()
-    if not n:
+    largest = F.array_max(F.transform("vec", lambda c: F.abs(c.cast("double"))))
+    scaled2 = lambda a, c: a + (c.cast("double") / F.col("_m")) * (c.cast("double") / F.col("_m"))
+    groups = groups.withColumn("_m", largest).withColumn("_log", F.log("_m") + F.log(F.aggregate("vec", F.lit(0.0), scaled2)) / 2)
+    top = groups.agg(F.max("_log")).first()[0]
+    if top is None:
         return empty
-    norm = 0.0 if least >= 0.998 * most else math.sqrt(most)
-    full = dim + bool(norm)
-    width = 1 << max(1, (full - 1).bit_length())
-    if hashes is None:
-        hashes = math.ceil(math.log(max(n / 1024, 1)) / math.log(2 * width))
-    tables = tables or {0: 1, 1: 10, 2: 18}.get(hashes, 18 * 3 ** (hashes - 2))
-    probes = probes or {0: 1, 1: max(16, width // 4), 2: 2 * width}.get(hashes, 2 * width * 4 ** (hashes - 2))
-    index = CrossPolytope(full, tables, hashes, probes)
+    # Norms that are equal but for rounding share a range.
+    groups = groups.withColumn("range", F.floor((F.lit(top + 1e-9) - F.col("_log")) / math.log(NORM_RANGE)).cast("int")).drop("_m", "_log")
+    sizes = {r["range"]: r["count"] for r in groups.groupBy("range").count().collect()}
+    width = 1 << max(1, (dim - 1).bit_length())
+
+    def made(h: int) -> CrossPolytope:
+        t = tables or {0: 1, 1: 10, 2: 18}.get(h, 18 * 3 ** (h - 2))
+        p = probes or {0: 1, 1: max(16, width // 4), 2: 2 * width}.get(h, 2 * width * 4 ** (h - 2))
+        return CrossPolytope(dim, t, h, p)
+
+    needed = {r: math.ceil(math.log(max(n / 1024, 1)) / math.log(2 * width)) if hashes is None else hashes for r, n in sizes.items()}
+    shared = {h: made(h) for h in set(needed.values())}
+    indexes = {r: shared[h] for r, h in needed.items()}
 
     asked = rows.where("is_query").select("id", "vec").distinct().join(groups.select("vec", "rep"), "vec").select(F.col("id").alias("query_id"), "rep")
     asked = durable(asked, "nn-queries")
     query_groups = groups.select("rep", "vec").join(asked.select("rep").distinct(), "rep", "left_semi")
-    schema = "tab int, bucket long, rep long, vec array<" + dict(rows.dtypes)["vec"].removeprefix("array<")
+    schema = "range int, tab int, bucket long, rep long, vec array<" + dict(rows.dtypes)["vec"].removeprefix("array<")
     # Each task hashes a modest number of rows, whatever the files' layout.
-    data = groups.select("rep", "vec").repartition("rep").mapInArrow(_hashed(index, dim, norm, False), schema)
-    probe = query_groups.repartition("rep").mapInArrow(_hashed(index, dim, norm, True), schema)
+    data = groups.select("rep", "vec", "range").repartition("rep").mapInArrow(_hashed(indexes, dim, False), schema)
+    probe = query_groups.repartition("rep").mapInArrow(_hashed(indexes, dim, True), schema)
     data, probe = durable(data, "nn-data"), durable(probe, "nn-probes")
 
-    tiles = lambda df, name: df.groupBy("tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
-    cut = durable(tiles(data, "x_tiles").join(tiles(probe, "q_tiles"), ["tab", "bucket"]), "nn-tiles")
+    tiles = lambda df, name: df.groupBy("range", "tab", "bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias(name))
+    cut = durable(tiles(data, "x_tiles").join(tiles(probe, "q_tiles"), ["range", "tab", "bucket"]), "nn-tiles")
     of = lambda name: F.pmod(F.xxhash64("rep"), F.col(name)).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
-    data = data.join(cut, ["tab", "bucket"]).withColumn("x_tile", of("x_tiles")).withColumn("q_tile", every("q_tiles"))
-    probe = probe.join(cut, ["tab", "bucket"]).withColumn("q_tile", of("q_tiles")).withColumn("x_tile", every("x_tiles"))
-    at = ["tab", "bucket", "x_tile", "q_tile"]
+    data = data.join(cut, ["range", "tab", "bucket"]).withColumn("x_tile", of("x_tiles")).withColumn("q_tile", every("q_tiles"))
+    probe = probe.join(cut, ["range", "tab", "bucket"]).withColumn("q_tile", of("q_tiles")).withColumn("x_tile", every("x_tiles"))
+    at = ["range", "tab", "bucket", "x_tile", "q_tile"]
     pairs = probe.select(*at, "rep", "vec").groupBy(*at).cogroup(data.select(*at, "rep", "vec").groupBy(*at)).applyInArrow(_ranked(k + 1, dim), "query long, cand long, score double")
 
     # A pair found in several tables has one score, so equal rows share their dense rank.

@@ -402,6 +402,27 @@ def test_recall_of_the_small_table(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("norms", ["one very long vector", "log-normal"])
+def test_recall_with_unequal_norms(spark, norms):
+    r = np.random.default_rng(3)
+    x = r.standard_normal((5000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "log-normal":
+        x *= r.lognormal(0.0, 1.0, 5000)[:, None]
+    else:
+        x[7] *= 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for row in nearest(df, F.col("vec_id") % 50 == 0, k=20).collect():
+        got[row.query_id].add(row.vec_id)
+    hit = 0
+    for q in range(0, 5000, 50):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s, kind="stable")[:20].tolist()) & got[q])
+    assert hit / 2000 >= 0.95
+
+
 # ---- 7: token files
 
 
