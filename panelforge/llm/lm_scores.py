@@ -186,19 +186,21 @@ def _summed(order: int, alpha: float, cutoff: int, n_words: int):
     return run
 
 
-def score_documents(docs: DataFrame, alpha: float = ALPHA, cutoff: int = CUTOFF, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score_documents(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, cutoff: int = CUTOFF, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: the key, ``n_words``, ``score`` (natural log) and ``per_word``.
 
-    Words are lower-cased (A-Z) and separated by ASCII white space.  All documents and all words are counted.  A word
-    after w1 scores ``c(w1 w) / c(w1)`` if the bigram's count is ``cutoff`` or more, else
-    ``alpha * c(w) / N``; a document's first word ``c(w) / N``.  Each logarithm is rounded to a
+    Words are lower-cased (A-Z) and separated by ASCII white space.  All documents and all words are counted.  A word w
+    after the n - 1 words h, n being ``order`` or what the document's beginning leaves, scores ``c(h w) / c(h)`` if
+    ``c(h w)`` is ``cutoff`` or more, else ``alpha`` times its score after h without its first word; after no word it
+    scores ``c(w) / N``.  A ``cutoff`` of 1 takes all n-grams.  Each logarithm is rounded to a
     millionth, and the sums are exact.  N-grams are told apart by 64-bit hashes.
 
     A null or empty text scores 0 with a null ``per_word``; repeated rows are scored, and counted, each; null keys are kept;
     an empty table gives an empty result.  Other columns are ignored.
     """
+    if order < 1:
+        raise ValueError("order is 1 at least")
     small_batches(docs.sparkSession)
-    order = ORDER
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     total = rows.select("text").mapInArrow(_count, "times long").agg(F.sum("times")).first()[0] or 0
     buckets = max(4, -(-total // BUCKET_ROWS))

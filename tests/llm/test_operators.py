@@ -359,6 +359,27 @@ def test_every_word_is_counted(spark):
         assert got[i][0] == n and abs(got[i][1] - score) < 1e-6 * n
 
 
+@pytest.mark.parametrize(("order", "cutoff"), [(1, 1), (3, 1), (3, 2), (4, 1)])
+def test_every_order_backs_off(docs, order, cutoff):
+    rows = [(r.text or "").encode().lower().split() for r in docs.select("text").collect()]
+    counts = defaultdict(int)
+    for w in rows:
+        for n in range(1, order + 1):
+            for i in range(len(w) - n + 1):
+                counts[tuple(w[i : i + n])] += 1
+    total = sum(map(len, rows))
+
+    def score(gram):
+        if len(gram) == 1:
+            return np.log(counts[gram]) - np.log(total)
+        return np.log(counts[gram]) - np.log(counts[gram[:-1]]) if counts[gram] >= cutoff else np.log(0.4) + score(gram[1:])
+
+    want = sorted((len(w), sum(int(np.rint(1e6 * score(tuple(w[max(0, i - order + 1) : i + 1])))) for i in range(len(w))) / 1e6) for w in rows)
+    got = sorted((r.n_words, r.score) for r in score_documents(docs, order=order, cutoff=cutoff).collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    np.testing.assert_allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
+
+
 # ---- 6: nearest neighbours
 
 
