@@ -18,16 +18,14 @@ from panelforge.llm.mixing import mixed_documents
 from panelforge.llm.pieces import encode_pieces
 from panelforge.llm.queries import tokenizer
 
-#: Documents whose largest language has a smaller share are rejected.
-LEAST_SHARE = 0.4
 #: Most keys of dropped documents that are broadcast; beyond it the join shuffles.
 BROADCAST_KEYS = 1_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language or without a dominant one; ``lang`` becomes the prediction."""
+    """Rejects documents without a language; ``lang`` becomes the prediction."""
     model = fit_languages(docs.where(~held_out(F.col("doc_id"))))
-    named = identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    named = identify(docs, model).where(F.col("lang_pred") != UNDETERMINED)
     return named.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 

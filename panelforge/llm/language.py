@@ -90,7 +90,7 @@ class LanguageModel:
     def mixtures(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Proportions of each text over its language set (0 outside), n-grams of each text, and log-likelihood per n-gram.
 
-        EM over all languages orders them by proportion; for k = 1, 2, 3 the first k are
+        EM over all languages orders them by proportion; for each k the first k are
         fitted again, and the set with the highest penalised likelihood is taken.
         """
         n, k = len(texts), len(self.langs)
@@ -115,7 +115,7 @@ class LanguageModel:
         full, _ = fit(np.ones((len(rows), k)), ROUNDS)
         order = np.argsort(-full, axis=1, kind="stable")
         best_pi, best, like = np.zeros((len(rows), k)), np.full(len(rows), -np.inf), np.zeros(len(rows))
-        for m in range(1, min(3, k) + 1):
+        for m in range(1, k + 1):
             mask = np.zeros((len(rows), k))
             np.put_along_axis(mask, order[:, :m], 1.0, axis=1)
             pi, ll = fit(mask, 0 if m == 1 else ROUNDS // 2)

@@ -504,6 +504,19 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in identify(docs.limit(3), none).collect()} == {"und"}
 
 
+def test_a_document_in_every_language(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = fit_languages(d)
+    parts = {x: next(r.text[:4000] for r in d.where(F.col("lang") == x).orderBy("doc_id").collect() if len(r.text) >= 4000) for x in model.langs}
+    mixed = spark.createDataFrame([(10**9, " ".join(parts.values()))], "doc_id long, text string")
+    out = identify(mixed, model).first()
+    assert len(parts) == 4 and sorted(out.languages) == sorted(parts) and out.score < 0.4
+    rows = d.unionByName(mixed, allowMissingColumns=True)
+    assert corpus_pipeline.language(spark, rows, SMALL).where("doc_id = 1000000000").count() == 1
+
+
 # ---- 9: sharding
 
 
