@@ -130,21 +130,22 @@ class LanguageModel:
 
 
 def fit_languages(labelled: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS, order: Column | None = None) -> LanguageModel:
-    """A model from at most ``sample_rows`` labelled rows of each language.
+    """A model from at most ``sample_rows`` distinct labelled texts of each language.
 
-    Rows come in the order of ``order`` (default: a hash of the text), so the sample is
+    They come in the order of ``order`` (default: a hash of the text), so the sample is
     the same for every partitioning.  Rows with a null language or text are left out.
     The driver receives one row of slot counts for each language.
     """
     from pyspark.sql import Window
 
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = rows.withColumn("_h", F.xxhash64("text", F.lit(11)) if order is None else order)
-    # The bound on the hash that about sample_rows rows of each language pass; the rest never reach a window.
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
+    own = F.xxhash64("text", F.lit(11))
+    rows = rows.withColumn("_h", own if order is None else order)
+    # The bound on the hash that about sample_rows texts of each language pass; the rest never reach a window.
+    sizes = rows.select("lang", own.alias("_t")).distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).collect()
     span = float(1 << 64)
     limit = F.coalesce(*[F.when(F.col("lang") == r.lang, F.lit(-(2.0**63) + span * min(1.0, 1.5 * sample_rows / r.rows + 0.0))) for r in sizes], F.lit(2.0**63)) if sizes else F.lit(2.0**63)
-    near = rows.where(F.col("_h").cast("double") <= limit)
+    near = rows.where(F.col("_h").cast("double") <= limit).groupBy("lang", "text").agg(F.min("_h").alias("_h"))
     by = Window.partitionBy("lang").orderBy("_h", "text")
     sample = near.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= sample_rows).select("lang", "text")
     counts = sample.repartition(24).mapInArrow(_counted, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).where("n > 0")

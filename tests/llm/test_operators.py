@@ -504,6 +504,14 @@ def test_languages(spark, docs, empty):
     assert {r.lang_pred for r in identify(docs.limit(3), none).collect()} == {"und"}
 
 
+def test_copies_count_once_in_the_sample(spark):
+    texts = spark.createDataFrame([("xx", prose(30, k)) for k in range(100)], "lang string, text string")
+    first = texts.orderBy(F.xxhash64("text", F.lit(11))).limit(1)
+    copies = first.select("lang", F.explode(F.array_repeat("text", 500)).alias("text"))
+    few, many = (fit_languages(t, sample_rows=50) for t in (texts, texts.union(copies)))
+    np.testing.assert_array_equal(few.p, many.p)
+
+
 def test_a_document_in_every_language(spark):
     import corpus_pipeline
 
