@@ -16,7 +16,10 @@ The join is exact.  Shingles are 64-bit hashes, and a document's set is their so
    groups are joined with themselves; a pair needs as many common prefix shingles as its
    sizes demand.  Large groups are cut into tiles of bounded size, ordered by set size; in
    a tile the classes' hashed parity bitmaps are compared block by block, within the sizes that can
-   match: bits that differ bound the overlap from above, and only pairs within the bound leave it.
+   match: bits that differ bound the overlap from above.  A tile sends the likeliest pair of each component
+   in it, and once those are decided and contracted, the classes that still have a pair within the bound across
+   components; their sets are compared in the tile, and links that join components leave it.  So a tile's
+   output is bounded by its classes, never their pairs.
 6. *Decision.*  Pairs meet in tiles by size band, which hold each set once with its bitmap; pairs
    within the bitmaps' bound are decided by intersecting the sorted arrays.
 """
@@ -41,25 +44,37 @@ COMMON = 1 << 17
 SALT_ROWS = 50_000
 #: Entries of a worker's cache of word hashes.
 CACHE = 150_000
+#: Sets that a task remembers, so as not to send their copies again.
+SEEN = 200_000
 #: Bytes of sets in a tile (each set counted for each pair), and its pairs.
-TILE_BYTES = 12 << 20
-TILE_PAIRS = 20_000
+TILE_BYTES = 8 << 20
+TILE_PAIRS = 4_000
 #: Groups of a shingle with more classes than this are compared in tiles of at most about so many rows a side.
 LARGE_GROUP, GROUP_TILE = 64, 2048
+#: Shingles of all sets of such a side, at most about (8 bytes each, and as many bits in bitmaps).
+GROUP_SHINGLES = 1 << 20
 #: Most document keys that are broadcast to pick the texts to compare (8 bytes each, about 50 in memory).
 PICK_ROWS = 1_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
+class _WordHashes(dict):
+    def __init__(self, of_word):
+        self.of_word = of_word
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = self.of_word(word)
+        return h
+
+
 class Shingler:
     """Sorted distinct shingle hashes of a text, and the hash of that array."""
 
     def __init__(self, words: int = WORDS):
         import xxhash
 
-        self.words, self.cache = words, {}
-        self.of_word, self.of_array = xxhash.xxh64_intdigest, xxhash.xxh3_128_intdigest
+        self.words, self.cache, self.of_array = words, _WordHashes(xxhash.xxh64_intdigest), xxhash.xxh3_128_intdigest
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes.lower() folds A-Z alone, and bytes.split() splits at \x20 and \x09-\x0D alone.
@@ -69,16 +84,16 @@ class Shingler:
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        for t in set(tokens):
-            if t not in cache:
-                cache[t] = self.of_word(t)
         w = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
         k = min(self.words, len(w))
         s = np.full(len(w) - k + 1, k, dtype=np.uint64)
         for j in range(k):
             s = (s ^ w[j : j + len(s)]) * _MIX[j % 5]
             s ^= s >> np.uint64(31)
-        return np.unique(s)
+        s.sort()
+        first = np.empty(len(s), dtype=bool)
+        first[0], first[1:] = True, s[1:] != s[:-1]
+        return s if first.all() else s[first]
 
     def digest(self, shingles: np.ndarray) -> tuple[int, int]:
         """The 128-bit hash of a set, as two signed integers."""
@@ -128,6 +143,8 @@ def _classes(words: int, handed_on: int = 20_000):
                 s = shingler(text.as_py())
                 key = shingler.digest(s) if len(s) else (None, None)
                 if key not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
                     seen.add(key)
                     counter.add(s)
                 sizes.append(len(s))
@@ -160,6 +177,8 @@ def _prefixes(words: int, percent: int, common: tuple[np.ndarray, np.ndarray]):
                 key = shingler.digest(s)
                 if key in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
                 seen.add(key)
                 take = prefix_size(len(s), percent)
                 times = np.zeros(len(s), dtype=np.int64)
@@ -206,6 +225,15 @@ def overlap_bound(n_a: int, n_b: int, a: np.ndarray, b: np.ndarray) -> int:
     return (n_a + n_b - differ) // 2
 
 
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough: by their exact intersection."""
+    if len(x) > len(y):
+        x, y = y, x
+    where = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    common = int((y[where] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -241,63 +269,108 @@ def _compare(percent: int):
                     least = -(-percent * (n[i] + n[j]) // (100 + percent))
                     if overlap_bound(n[i], n[j], bits[i], bits[j]) < least:
                         continue
-                    x, y = (arrays[i], arrays[j]) if n[i] <= n[j] else (arrays[j], arrays[i])
-                    where = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    common = int((y[where] == x).sum())
-                    if 100 * common >= percent * (n[i] + n[j] - common):
+                    if similar(arrays[i], arrays[j], percent):
                         links.append((rep[i], rep[j]))
         return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
     return run
 
 
-def _near(percent: int, one: bool):
-    """Of the classes in a tile, the pairs across labels (and, off the diagonal, across slices) that bitmaps don't rule out;
-    with ``one`` only the likeliest for each two labels."""
-    schema = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()), ("n_b", pa.int64())])
-    words = 4
-
-    def run(tile: pa.Table) -> pa.Table:
-        tile = tile.sort_by("n")
-        n, s1, label, part = (tile[c].to_numpy() for c in ("n", "s1", "label", "part"))
-        bits = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in tile["bits"]]
-        small = np.stack([folded(x, words) for x in bits])
-        cross = tile["lo"][0].as_py() != tile["hi"][0].as_py()
-        got: dict = {}
-        for at in range(0, len(n), 256):
-            end = min(at + 256, len(n))
+def _bound(percent: int, tile: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of a tile whose rows are sorted by set size: places of rows and of columns, and for each two of them by how much
+    the bitmaps' bound exceeds the least overlap; -1 for pairs of one label, or that the tile is not for."""
+    n, label, part = (tile[c].to_numpy() for c in ("n", "label", "part"))
+    bits = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in tile["bits"]]
+    width = np.array([len(x) for x in bits])
+    cross = tile["lo"][0].as_py() != tile["hi"][0].as_py()
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        # Sizes that match differ by a factor of two at most, and so do the widths of their bitmaps.
+        stop = int(np.searchsorted(n, n[own[-1]] * 100 // percent, side="right"))
+        words = np.stack([folded(bits[j], w) for j in range(own[0], stop)], axis=1)
+        for at in range(own[0], own[-1] + 1, 256):
+            end = min(at + 256, own[-1] + 1)
             last = int(np.searchsorted(n, n[end - 1] * 100 // percent, side="right"))
             rows, cols = np.arange(at, end), np.arange(at, last)
             differ = np.zeros((len(rows), len(cols)), dtype=np.int32)
-            for k in range(words):
-                differ += np.bitwise_count(small[rows, k][:, None] ^ small[cols, k][None, :])
+            for k in range(w):
+                differ += np.bitwise_count(words[k, rows - own[0]][:, None] ^ words[k, cols - own[0]][None, :])
             both = n[rows][:, None] + n[cols][None, :]
-            least = -(-percent * both // (100 + percent))
-            ok = ((both - differ) // 2 >= least) & (label[rows][:, None] != label[cols][None, :]) & (rows[:, None] < cols[None, :])
+            spare = (both - differ) // 2 - -(-percent * both // (100 + percent))
+            ok = (label[rows][:, None] != label[cols][None, :]) & (rows[:, None] < cols[None, :])
             if cross:
                 ok &= part[rows][:, None] != part[cols][None, :]
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                i, j = rows[i], cols[j]
-                spare = overlap_bound(int(n[i]), int(n[j]), bits[i], bits[j]) - -(-percent * int(n[i] + n[j]) // (100 + percent))
-                if spare < 0:
-                    continue
-                pair = (s1[i], n[i], s1[j], n[j]) if s1[i] < s1[j] else (s1[j], n[j], s1[i], n[i])
-                apart = (min(label[i], label[j]), max(label[i], label[j])) if one else pair
-                if apart not in got or got[apart][0] < spare:
-                    got[apart] = spare, pair
-        got = [pair for _, pair in got.values()]
-        return pa.Table.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(4)], schema=schema)
+            yield rows, cols, np.where(ok, spare, -1)
+
+
+def _likeliest(percent: int):
+    """Of each label in a tile the likeliest pair with another one: at most a pair for each label."""
+    schema = pa.schema([("a", pa.int64()), ("n_a", pa.int64()), ("b", pa.int64()), ("n_b", pa.int64())])
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by([("n", "ascending"), ("s1", "ascending")])
+        n, s1 = tile["n"].to_numpy(), tile["s1"].to_numpy()
+        best, mate = np.full(len(n), -1), np.zeros(len(n), dtype=np.int64)
+        for rows, cols, spare in _bound(percent, tile):
+            for here, there, x in ((rows, cols, spare), (cols, rows, spare.T)):
+                at = x.argmax(axis=1)
+                most = x[np.arange(len(here)), at]
+                better = most > best[here]
+                best[here[better]], mate[here[better]] = most[better], there[at[better]]
+        _, label = np.unique(tile["label"].to_numpy(), return_inverse=True)
+        order = np.lexsort((s1, -best, label))
+        first = order[np.r_[True, label[order][1:] != label[order][:-1]]]
+        i = first[best[first] >= 0]
+        j = mate[i]
+        swap = s1[i] > s1[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        return pa.Table.from_arrays([pa.array(x) for x in (s1[i], n[i], s1[j], n[j])], schema=schema)
+
+    return run
+
+
+def _undecided(percent: int):
+    """The classes of a tile that the bitmaps leave a pair with another label."""
+    schema = pa.schema([("shingle", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("part", pa.int32()), ("s1", pa.int64()), ("n", pa.int64()), ("label", pa.int64())])
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("n")
+        some = np.zeros(tile.num_rows, dtype=bool)
+        for rows, cols, spare in _bound(percent, tile):
+            some[rows] |= (spare >= 0).any(axis=1)
+            some[cols] |= (spare >= 0).any(axis=0)
+        return tile.select(schema.names).filter(pa.array(some)).cast(schema)
+
+    return run
+
+
+def _spanning(percent: int):
+    """Links of a tile that join its labels as all its links do: a pair within a component that is known so far is not compared."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.sort_by("n")
+        n, rep = tile["n"].to_numpy(), tile["rep"].to_numpy()
+        arrays = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in tile["shingles"]]
+        _, label = np.unique(tile["label"].to_numpy(), return_inverse=True)
+        links = []
+        for rows, cols, spare in _bound(percent, tile):
+            i, j = np.nonzero(spare >= 0)
+            order = np.argsort(-spare[i, j], kind="stable")
+            for x, y in zip(rows[i[order]].tolist(), cols[j[order]].tolist(), strict=True):
+                if label[x] != label[y] and similar(arrays[x], arrays[y], percent):
+                    links.append((rep[x], rep[y]))
+                    label[label == label[y]] = label[x]
+        return pa.Table.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], schema=schema)
 
     return run
 
 
-def _tiled(big: DataFrame, sets: DataFrame, percent: int, one: bool) -> DataFrame:
-    """Pairs of large groups that bitmaps don't rule out: the groups are cut into slices, and each two slices meet in a tile."""
-    slices = F.ceil(F.col("size") / GROUP_TILE).cast("int")
+def _cut(big: DataFrame) -> DataFrame:
+    """Large groups in slices of bounded rows and set bytes, each two of which meet in a tile (shingle, lo, hi)."""
+    slices = F.ceil(F.greatest(F.col("size") / GROUP_TILE, F.col("weight") / GROUP_SHINGLES)).cast("int")
     cut = big.withColumn("part", F.pmod(F.xxhash64("s1"), slices).cast("int")).withColumn("_k", F.explode(F.sequence(F.lit(0), slices - 1)))
-    cut = cut.select("shingle", F.least("part", "_k").alias("lo"), F.greatest("part", "_k").alias("hi"), "part", "s1", F.col("n").cast("long").alias("n"), "label")
-    cut = cut.join(sets.select("s1", "n", "bits"), ["s1", "n"])
-    return cut.groupBy("shingle", "lo", "hi").applyInArrow(_near(percent, one), "a long, n_a long, b long, n_b long").distinct()
+    return cut.select("shingle", F.least("part", "_k").alias("lo"), F.greatest("part", "_k").alias("hi"), "part", "s1", F.col("n").cast("long").alias("n"), "label")
 
 
 def _set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -387,7 +460,8 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, words: int = WORDS, text
     # The groups again, with their hubs, and the component that each class is in so far.
     members = shared.select("shingle", "s1", "n").unionByName(shared.select("shingle", F.col("hub").alias("s1"), F.col("n_hub").alias("n")).distinct()).distinct()
     members = durable(_labelled(members, classes, components(links)), "jj-members")
-    groups = members.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high").select("shingle", "size")
+    groups = members.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    groups = groups.where("low <> high").select("shingle", "size", "weight")
     members = durable(members.join(groups, "shingle"), "jj-open")
 
     large = F.col("size") > LARGE_GROUP
@@ -401,14 +475,17 @@ def jaccard_classes(docs: DataFrame, percent: int = 80, words: int = WORDS, text
     rest = durable(rest.where(_enough(F.col("c") + F.col("big"), percent)).drop("c", "big"), "jj-pairs")
 
     sets = _set_table(docs, classes, _ends(rest).unionByName(in_big.select(F.col("_s").alias("s1"))), words)
-    # First each two components that meet in a tile send their likeliest pair, which joins most of what
-    # hangs together; then all pairs of what is still apart are decided.
-    likeliest = _decided(sets, durable(_tiled(big, sets, percent, True), "jj-pairs"), percent)
-    links = durable(links.unionByName(likeliest), "jj-links")
+    # First each component that a tile holds sends its likeliest pair, which joins most of what hangs together; then what
+    # bitmaps still leave across components is decided within the tiles.
+    bits, pairs_of = sets.select("s1", "n", "bits"), "a long, n_a long, b long, n_b long"
+    tile = ["shingle", "lo", "hi"]
+    likeliest = _cut(big).join(bits, ["s1", "n"]).groupBy(*tile).applyInArrow(_likeliest(percent), pairs_of)
+    near = rest.select("a", F.col("n_a").cast("long"), "b", F.col("n_b").cast("long"))
+    links = durable(links.unionByName(_decided(sets, durable(likeliest.unionByName(near).distinct(), "jj-pairs"), percent)), "jj-links")
     big = _labelled(big.drop("label"), classes, components(links))
-    near = _tiled(big, sets, percent, False)
-    pairs = durable(rest.select("a", F.col("n_a").cast("long"), "b", F.col("n_b").cast("long")).unionByName(near).distinct(), "jj-pairs")
-    links = links.unionByName(_decided(sets, pairs, percent))
+    left = _cut(big).join(bits, ["s1", "n"]).groupBy(*tile).applyInArrow(_undecided(percent), "shingle long, lo int, hi int, part int, s1 long, n long, label long")
+    left = durable(left, "jj-left").join(sets.select("rep", "s1", "n", "bits", "shingles"), ["s1", "n"])
+    links = links.unionByName(left.groupBy(*tile).applyInArrow(_spanning(percent), "a long, b long"))
 
     final = components(links).select(F.col("node").alias("rep"), "component")
     named = classes.join(final, "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"), F.col("copies").alias("n_copies"))
