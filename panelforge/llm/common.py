@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import sys
 import types
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,19 +19,41 @@ SPACES = " \t\n\x0b\f\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bounds the rows of an Arrow batch, for workers that read whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 500, size: int = 8 << 20) -> None:
+    """Bounds the rows and bytes of an Arrow batch, for workers that read whole texts.
+
+    Both are settings of the session, read when a plan runs; larger ones are lowered and stay so.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def per_worker(key: tuple, make):
-    """What ``make`` returns, kept for the tasks that the same Python worker runs after this one."""
-    store = sys.modules.setdefault("_panelforge_worker", types.ModuleType("_panelforge_worker")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    """What ``make`` returns, kept for the tasks that the same Python worker runs after this one.
+
+    A worker keeps one such thing: that of another operator goes first.
+    """
+    store = sys.modules.setdefault("_panelforge_worker", types.ModuleType("_panelforge_worker"))
+    held = getattr(store, "held", None)
+    if held is None or held[0] != key:
+        store.held = None
+        store.held = held = key, make()
+    return held[1]
+
+
+def text_parts(batch: pa.RecordBatch, text_at: int, most: int, rows: int = 200) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most ``most`` bytes together, or that hold one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+    at = total = 0
+    for k, size in enumerate(sizes.tolist()):
+        if k > at and (total + size > most or k - at >= rows):
+            yield batch.slice(at, k - at)
+            at, total = k, 0
+        total += size
+    if batch.num_rows > at:
+        yield batch.slice(at)
 
 
 def most_frequent(counts: DataFrame, most: int, times: str = "times") -> DataFrame:
@@ -77,4 +102,4 @@ def numbered(
     return joined.withColumn(out, (F.col("_local") + F.col("_shift")).cast("long")).drop("_cell", "_w", "_local", "_shift", *[f"_k_{k}" for k in keys])
 
 
-__all__ = ["SPACES", "WORD", "durable", "most_frequent", "n_words", "numbered", "per_worker", "shared_dir", "small_batches"]
+__all__ = ["SPACES", "WORD", "durable", "most_frequent", "n_words", "numbered", "per_worker", "shared_dir", "small_batches", "text_parts"]

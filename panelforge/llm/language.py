@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import per_worker, small_batches, text_parts
 
 #: Feature slots: character n-grams are hashed to so many.
 SLOTS = 1 << 15
@@ -22,54 +23,94 @@ ROUNDS = 12
 #: Times the Bayesian penalty of half the log of the n-grams for each further language.
 PENALTY = 8.0
 
+#: Bytes of texts that are worked on at a time, and characters beyond which one text is worked on in parts.
+PART_BYTES, LONG_TEXT = 1 << 18, 1 << 16
+
 UNDETERMINED = "und"
 
 
-def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Folded characters of all texts, and the text of each: letters in lower case, one blank for what lies between."""
-    wide = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
-    sep = np.array([32], dtype=np.uint32)
-    flat = np.concatenate([x for t in wide for x in (sep, t, sep)]) if wide else np.empty(0, np.uint32)
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter or a mark that goes with one."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
+
+
+def _codes(text: str) -> np.ndarray:
+    """Characters in lower case; what is no letter as a blank."""
+    wide = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.where(per_worker(("letters",), _letters)[wide], wide, 32).astype(np.uint64)
+
+
+def _slots(flat: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The slot of the n-gram that begins at each place, and whether it counts: of one or two characters, not all are blanks."""
+    h = np.full(max(len(flat) - n + 1, 0), n, dtype=np.uint64)
+    for k in range(n):
+        h = (h ^ flat[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    ok = flat[: len(h)] != 32
+    for k in range(1, n):
+        ok |= flat[k : k + len(h)] != 32
+    return (h >> np.uint64(40)) % np.uint64(SLOTS), ok if n < 3 else np.ones(len(h), dtype=bool)
+
+
+def _of_long(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and counts of one text, part by part: what is held at a time doesn't grow with the text."""
+    total, carry = np.zeros(SLOTS), np.full(1, 32, dtype=np.uint64)
+    for at in range(0, len(text) + 1, LONG_TEXT):
+        part = _codes(text[at : at + LONG_TEXT])
+        flat = np.concatenate([carry, part, carry[:0] if at + LONG_TEXT <= len(text) else np.full(1, 32, dtype=np.uint64)])
+        keep = np.r_[True, (flat[1:] != 32) | (flat[:-1] != 32)]
+        keep[: len(carry)] = True
+        flat = flat[keep]
+        for n in ORDERS:
+            slot, ok = _slots(flat, n)
+            first = max(len(carry) - n + 1, 0)  # earlier ones end before this part
+            total += np.bincount(slot[first:][ok[first:]].astype(np.int64), minlength=SLOTS)
+        carry = flat[-(max(ORDERS) - 1) :]
+    slot = np.flatnonzero(total)
+    return slot, total[slot]
+
+
+def _of_short(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    blank = np.full(1, 32, dtype=np.uint64)
+    wide = [_codes(t) for t in texts]
+    flat = np.concatenate([x for t in wide for x in (blank, t, blank)])
     owner = np.repeat(np.arange(len(wide)), [len(t) + 2 for t in wide])
-    ascii_letter = (flat >= 97) & (flat <= 122)
-    # Beyond ASCII every character that is not punctuation or a symbol of the Latin-1 and general blocks counts as a letter.
-    other = (flat >= 0xC0) & (flat != 0xD7) & (flat != 0xF7) & ~((flat >= 0x2000) & (flat <= 0x2BFF)) & ~((flat >= 0x3000) & (flat <= 0x303F)) & ~((flat >= 0xE000) & (flat <= 0xF8FF))
-    letter = ascii_letter | other | (flat == 0xAA) | (flat == 0xB5) | (flat == 0xBA)
-    flat = np.where(letter, flat, 32).astype(np.uint64)
-    keep = np.ones(len(flat), dtype=bool)
-    keep[1:] = (flat[1:] != 32) | (flat[:-1] != 32) | (owner[1:] != owner[:-1])
-    return flat[keep], owner[keep]
-
-
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse counts: text, slot and count of every n-gram slot that a text has."""
-    flat, owner = _codes(texts)
+    keep = np.r_[True, (flat[1:] != 32) | (flat[:-1] != 32) | (owner[1:] != owner[:-1])]
+    flat, owner = flat[keep], owner[keep]
     seen = []
     for n in ORDERS:
-        if len(flat) < n:
-            continue
-        h = np.full(len(flat) - n + 1, n, dtype=np.uint64)
-        for k in range(n):
-            h = (h ^ flat[k : len(flat) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        ok = owner[: len(h)] == owner[n - 1 :]
-        if n == 1:
-            ok &= flat != 32
-        elif n == 2:
-            ok &= (flat[:-1] != 32) | (flat[1:] != 32)
-        seen.append((owner[: len(h)][ok].astype(np.uint64) << np.uint64(32)) | (h[ok] >> np.uint64(40)) % np.uint64(SLOTS))
-    both, count = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        slot, ok = _slots(flat, n)
+        ok &= owner[: len(slot)] == owner[len(owner) - len(slot) :]
+        seen.append((owner[: len(slot)][ok].astype(np.uint64) << np.uint64(32)) | slot[ok])
+    both, count = np.unique(np.concatenate(seen), return_counts=True)
     return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64), count.astype(np.float64)
 
 
+def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sparse counts: text, slot and count of every n-gram slot that a text has, by text."""
+    got = []
+    short = [i for i, t in enumerate(texts) if len(t) <= LONG_TEXT]
+    if short:
+        own, slot, count = _of_short([texts[i] for i in short])
+        got.append((np.array(short)[own], slot, count))
+    for i, t in enumerate(texts):
+        if len(t) > LONG_TEXT:
+            slot, count = _of_long(t)
+            got.append((np.full(len(slot), i), slot, count))
+    if not got:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    own, slot, count = (np.concatenate(x) for x in zip(*got, strict=True))
+    order = np.argsort(own, kind="stable")
+    return own[order], slot[order], count[order]
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, text) rows to a row of slot counts for each language of a task."""
     total: dict[str, np.ndarray] = {}
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-        for k in range(0, len(texts), 200):
-            own, slot, count = features(texts[k : k + 200])
-            names = langs[k : k + 200]
+        for part in text_parts(batch, 1, PART_BYTES):
+            names = part.column(0).to_pylist()
+            own, slot, count = features([t or "" for t in part.column(1).to_pylist()])
             for lang in set(names):
                 of = np.array([x == lang for x in names])[own] if len(own) else np.empty(0, bool)
                 total.setdefault(lang, np.zeros(SLOTS))
@@ -160,8 +201,7 @@ def _predict(model: LanguageModel, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.langs, UNDETERMINED], dtype=object)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
+            for part in text_parts(batch, text_at, PART_BYTES):
                 texts = [t or "" for t in part.column(text_at).to_pylist()]
                 pi, total, _ = model.mixtures(texts)
                 empty = (total == 0) | np.array([not any(map(str.isalpha, t)) for t in texts])
@@ -179,9 +219,10 @@ def _predict(model: LanguageModel, text_at: int):
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """Adds ``lang_pred``, ``score`` (its proportion, 0 to 1) and ``languages`` (the language set, largest share first).
 
-    Whole texts are read in one narrow pass.  A text that is null or has no letter, or
+    Whole texts are read in one narrow pass, in parts of bounded size: neither many long texts
+    nor one very long one add to what a worker holds, but for the text itself.  A text that is null or has no letter, or
     any text where the model has no language, is ``und`` with score 0 and an empty set.
-    Ties go to the language that sorts first.  Other columns are passed through; those
+    A letter is what Unicode calls one.  Ties go to the language that sorts first.  Rows that repeat get equal results.  Other columns are passed through; those
     with an output's name are replaced.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
