@@ -12,7 +12,7 @@ from .lm_scores import score_documents
 from .mixing import mix_counts
 from .neighbours import nearest
 from .pieces import encode_pieces
-from .secrets import listed, scan
+from .secrets import linked_pairs, listed, scan
 from .sharding import shard
 from .token_files import read_digests, write_tokens
 
@@ -40,7 +40,7 @@ def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan(_documents(spark, sf_dir, "doc_id", "text"))
     base = F.sha2(listed(F.filter("spans", lambda s: s["base"])), 256)
-    return out.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", base.alias("base_sha256"), listed(F.col("spans")).alias("spans"), linked_pairs(F.col("spans")).alias("links"))
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
