@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import div, upto
+from ..sources.staging import durable
 
 DAYS = 252
 
@@ -38,67 +39,109 @@ def top_k_weights(grid: DataFrame, signal: str = "signal", k: int = 5, least: fl
 
 @dataclass(frozen=True)
 class Simulation:
-    daily: DataFrame
-    trades: DataFrame
-
-
-_DAILY = "strategy string, dt date, equity double, cash double, ret double, turnover double, positions string"
-_TRADES = "strategy string, dt date, symbol string, shares long, price double, cost double, cash_after double"
-
-
-def _simulated(commission: float, slippage: float, capital: float, trades: bool):
-    c = commission + slippage
-
+    """``records``: one row for each strategy and date, with its positions and trades as arrays."""
+
+    records: DataFrame
+
+    @property
+    def daily(self) -> DataFrame:
+        """Equity, cash, net asset value, return, turnover, costs and shares traded on each date."""
+        return self.records.drop("positions", "trades")
+
+    @property
+    def trades(self) -> DataFrame:
+        """Each trade: signed shares, price, notional, costs, and cash, position and equity after it."""
+        return self.records.select("strategy", "dt", F.explode("trades").alias("t")).select("strategy", "dt", "t.*")
+
+    @property
+    def positions(self) -> DataFrame:
+        """Shares and weight of each name held after a date's trades."""
+        return self.records.select("strategy", "dt", F.explode("positions").alias("p")).select("strategy", "dt", "p.*")
+
+
+_MONEY = ("equity", "cash", "nav", "ret", "turnover", "notional", "commission", "slippage", "cost", "bought", "sold")
+_TRADE = ("shares", "price", "notional", "commission", "slippage", "cost", "cash_after", "position_after", "equity_after")
+_RECORDS = (
+    "strategy string, dt date, " + ", ".join(f"{c} double" for c in _MONEY) + ", positions array<struct<symbol: string, shares: double, weight: double>>, "
+    "trades array<struct<symbol: string, action: string, " + ", ".join(f"{c}: double" for c in _TRADE) + ">>"
+)
+
+
+class _Account:
+    """Cash and whole shares (as doubles, which no equity can overflow) of one strategy."""
+
+    def __init__(self, names: list[str], capital: float, commission: float, slippage: float):
+        self.names, self.cash, self.shares = names, capital, np.zeros(len(names))
+        self.rates = commission, slippage
+        self.trades: list[dict] = []
+
+    def worth(self, price: np.ndarray) -> float:
+        return self.cash + float(self.shares @ price)
+
+    def trade(self, i: int, shares: float, price: np.ndarray) -> None:
+        notional = abs(shares) * price[i]
+        commission, slippage = (notional * r for r in self.rates)
+        self.cash -= shares * price[i] + commission + slippage
+        self.shares[i] += shares
+        values = shares, price[i], notional, commission, slippage, commission + slippage, self.cash, self.shares[i], self.worth(price)
+        self.trades.append({"symbol": self.names[i], "action": "buy" if shares > 0 else "sell", **dict(zip(_TRADE, map(float, values), strict=True))})
+
+    def rebalance(self, weight: np.ndarray, price: np.ndarray) -> None:
+        """Sales first, then purchases, the heaviest first, as cash lasts.  A name without a positive price has no target."""
+        unit = price * (1.0 + sum(self.rates))
+        budget = max(self.worth(price), 0.0) * weight
+        target = np.floor(np.divide(budget, unit, out=np.zeros(len(unit)), where=unit > 0))
+        for i in np.flatnonzero(target < self.shares):
+            self.trade(i, target[i] - self.shares[i], price)
+        for i in sorted(np.flatnonzero(weight > 0), key=lambda j: (-weight[j], j)):
+            shares = min(target[i] - self.shares[i], self.cash // unit[i] if unit[i] > 0 else 0.0)
+            if shares > 0:
+                self.trade(i, shares, price)
+
+
+def _simulated(commission: float, slippage: float, capital: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["dt", "symbol"])
-        strategy = pdf["strategy"].iloc[0]
-        w = pdf.pivot(index="dt", columns="symbol", values="weight").sort_index()
-        p = pdf.pivot(index="dt", columns="symbol", values="price").sort_index().ffill().to_numpy(dtype=float)
-        w, names, dates = w.fillna(0.0).shift(1).fillna(0.0).to_numpy(dtype=float), list(w.columns), list(w.index)
-        shares, cash, before_value = np.zeros(len(names), dtype=np.int64), float(capital), float(capital)
-        days, done = [], []
-        for t, date in enumerate(dates):
-            price, known = np.nan_to_num(p[t]), np.isfinite(p[t]) & (p[t] > 0)
-            equity = cash + float((shares * price).sum())
-            unit = price * (1 + c)
-            target = np.where(known, np.floor(np.divide(equity * w[t], unit, out=np.zeros(len(names)), where=unit > 0) + 1e-9), shares).astype(np.int64)
-            notional = 0.0
-            for i in np.flatnonzero(target < shares):
-                n = int(shares[i] - target[i])
-                cash += n * price[i] * (1 - c)
-                notional += n * price[i]
-                shares[i] = target[i]
-                done.append((strategy, date, names[i], -n, price[i], n * price[i] * c, cash))
-            for i in sorted(np.flatnonzero(target > shares), key=lambda j: (-w[t, j], j)):
-                n = min(int(target[i] - shares[i]), int(cash // unit[i]))
-                if n > 0:
-                    cash -= n * unit[i]
-                    notional += n * price[i]
-                    shares[i] += n
-                    done.append((strategy, date, names[i], n, price[i], n * price[i] * c, cash))
-            value = cash + float((shares * price).sum())
-            held = ";".join(f"{names[i]}:{shares[i]}" for i in np.flatnonzero(shares))
-            days.append((strategy, date, value, cash, value / before_value - 1 if before_value else 0.0, notional / equity if equity else 0.0, held))
-            before_value = value
-        if trades:
-            return pd.DataFrame(done, columns=["strategy", "dt", "symbol", "shares", "price", "cost", "cash_after"])
-        return pd.DataFrame(days, columns=["strategy", "dt", "equity", "cash", "ret", "turnover", "positions"])
+        dates = np.sort(pdf["dt"].unique())
+        held = pdf[pdf["symbol"].notna()]
+        by_date = lambda c: held.pivot(index="dt", columns="symbol", values=c).sort_index(axis=1).reindex(dates).ffill()
+        prices, weights = by_date("price"), by_date("weight").shift(1).fillna(0.0).clip(lower=0.0).to_numpy(dtype=float)
+        names = [str(c) for c in prices.columns]
+        prices = np.maximum(np.nan_to_num(prices.to_numpy(dtype=float), nan=0.0, posinf=0.0, neginf=0.0), 0.0)
+        account, last, rows = _Account(names, capital, commission, slippage), capital, []
+        for date, weight, price in zip(dates, weights, prices, strict=True):
+            before, account.trades = account.worth(price), []
+            account.rebalance(weight, price)
+            equity, done = account.worth(price), account.trades
+            total = {c: sum(t[c] for t in done) for c in ("notional", "commission", "slippage", "cost")}
+            bought, sold = (sum(abs(t["shares"]) for t in done if t["action"] == a) for a in ("buy", "sell"))
+            money = equity, account.cash, equity / capital, equity / last - 1 if last > 0 else 0.0, total["notional"] / before if before > 0 else 0.0, *total.values(), bought, sold
+            positions = [{"symbol": names[i], "shares": float(account.shares[i]), "weight": float(account.shares[i] * price[i] / equity) if equity > 0 else 0.0} for i in np.flatnonzero(account.shares)]
+            rows.append([pdf["strategy"].iloc[0], date, *map(float, money), positions, done])
+            last = equity
+        return pd.DataFrame(rows, columns=["strategy", "dt", *_MONEY, "positions", "trades"])
 
     return run
 
 
-def simulate(weights: DataFrame, bars: DataFrame, price: str = "close", capital: float = 1_000_000.0, commission: float = 0.001, slippage: float = 0.001) -> Simulation:
+def simulate(weights: DataFrame, bars: DataFrame, price: str | None = None, capital: float = 1_000_000.0, commission: float = 0.001, slippage: float = 0.001) -> Simulation:
     """Weights of a date are traded at the next date's price in whole shares: sales first, then purchases by weight as cash lasts.
 
-    The fold is sequential within a strategy and parallel over strategies (column ``strategy``; one if absent).  Only
-    names that a strategy ever holds reach its fold.
+    The dates are those of ``bars``; prices (``adj_close`` if there is one, else ``close``) and weights are carried
+    forward, and weights below 0 count as 0.  The fold is sequential within a strategy and parallel over strategies (column ``strategy``; one
+    if absent).  Only names that a strategy ever holds reach its fold.  Its records are written once: daily rows, trades
+    and positions are read from them.
     """
+    if capital <= 0:
+        raise ValueError("capital must be positive")
+    price = price or ("adj_close" if "adj_close" in bars.columns else "close")
     w = weights if "strategy" in weights.columns else weights.withColumn("strategy", F.lit("main"))
-    ever = w.where("weight <> 0").select("strategy", "symbol").distinct()
-    rows = w.join(ever, ["strategy", "symbol"]).join(bars.select("dt", "symbol", F.col(price).alias("price")), ["dt", "symbol"], "left")
-    rows = rows.select("strategy", "dt", F.col("symbol").cast("string").alias("symbol"), "weight", "price")
-    run = lambda trades: rows.groupBy("strategy").applyInPandas(_simulated(commission, slippage, capital, trades), _TRADES if trades else _DAILY)
-    return Simulation(run(False), run(True))
+    ever = w.where("weight > 0").select("strategy", "symbol").distinct()
+    priced = bars.join(ever, "symbol").select("strategy", "dt", "symbol", F.col(price).cast("double").alias("price"))
+    rows = priced.join(w.select("strategy", "dt", "symbol", F.col("weight").cast("double").alias("weight")), ["strategy", "dt", "symbol"], "left")
+    # Every date of the calendar is a row of every strategy, whether a held name has a bar or not.
+    days = w.select("strategy").distinct().crossJoin(bars.select("dt").distinct())
+    rows = rows.select("strategy", "dt", F.col("symbol").cast("string").alias("symbol"), "weight", "price").unionByName(days, allowMissingColumns=True)
+    return Simulation(durable(rows.groupBy("strategy").applyInPandas(_simulated(commission, slippage, capital), _RECORDS), "simulation"))
 
 
 def performance(daily: DataFrame, ret: str = "ret", by: tuple[str, ...] = (), free: float = 0.0) -> DataFrame:
@@ -135,11 +178,38 @@ def rolling_sharpe(daily: DataFrame, n: int = 60, free: float = 0.0) -> DataFram
     return daily.select("dt", F.when(F.count("ret").over(w) == n, s).alias("sharpe"))
 
 
-def timing_summary(signals: DataFrame, closes: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Per symbol: direction win rate, and the figures of holding ``scale`` times sign(signal) from the second date after it."""
+def timing_returns(signals: DataFrame, closes: DataFrame, scale: float = 1.0) -> DataFrame:
+    """(symbol, dt, r, s, ret, nav): per symbol its own return, the sign of the signal, and what holding ``scale`` times that
+    sign from the second date after it returns, with the net asset value that this makes of 1."""
     w = Window.partitionBy("symbol").orderBy("dt")
-    d = signals.join(closes.select("dt", "symbol", "close"), ["dt", "symbol"])
-    d = d.withColumn("r", div("close", F.lag("close").over(w)) - 1).withColumn("_s", F.signum("signal"))
-    d = d.withColumn("ret", F.coalesce(F.lag("_s", 2).over(w) * F.col("r") * scale, F.lit(0.0)))
-    hits = d.groupBy("symbol").agg(F.avg(F.when((F.col("_s") != 0) & F.col("r").isNotNull(), (F.col("_s") == F.signum("r")).cast("double"))).alias("direction_win_rate"))
-    return performance(d, by=("symbol",)).join(hits, "symbol")
+    d = signals.join(closes.select("dt", "symbol", "close"), ["dt", "symbol"]).where("signal IS NOT NULL AND close IS NOT NULL")
+    d = d.withColumn("r", div("close", F.lag("close").over(w)) - 1).withColumn("s", F.signum("signal"))
+    d = d.withColumn("ret", F.coalesce(F.lag("s", 2).over(w) * F.col("r") * scale, F.lit(0.0)))
+    return d.select("symbol", "dt", "r", "s", "ret", F.product(1 + F.col("ret")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("nav"))
+
+
+def benchmark_close(closes: DataFrame, symbol: object | None = None) -> DataFrame:
+    """(dt, close) of one symbol, or of the first symbol of each date."""
+    if symbol is not None:
+        return closes.where(F.col("symbol") == F.lit(symbol)).select("dt", "close")
+    return closes.groupBy("dt").agg(F.min_by("close", "symbol").alias("close"))
+
+
+def benchmark_nav(close: DataFrame) -> DataFrame:
+    """(dt, ret, nav): buy and hold from the first close on.  One series: calendar-sized."""
+    w = Window.orderBy("dt")
+    first = F.first("close", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return close.select("dt", (div("close", F.lag("close").over(w)) - 1).alias("ret"), div(F.col("close"), first).alias("nav"))
+
+
+def timing_summary(signals: DataFrame, closes: DataFrame, scale: float = 1.0, benchmark: DataFrame | None = None) -> DataFrame:
+    """Per symbol: direction win rate (over dates with a signal), the figures of its strategy (see ``timing_returns``), and the
+    annual return and Calmar ratio of its excess over a ``benchmark`` (dt, ret), null with fewer than two common dates;
+    without a benchmark the excess is the strategy itself."""
+    d = timing_returns(signals, closes, scale)
+    hits = d.groupBy("symbol").agg(F.avg(F.when((F.col("s") != 0) & F.col("r").isNotNull(), (F.col("s") == F.signum("r")).cast("double"))).alias("direction_win_rate"))
+    over = d.select("symbol", "dt", "ret")
+    if benchmark is not None:
+        over = over.join(benchmark.where("ret IS NOT NULL").select("dt", F.col("ret").alias("_b")), "dt").select("symbol", "dt", (F.col("ret") - F.col("_b")).alias("ret"))
+    more = performance(over, by=("symbol",)).where("n > 1").select("symbol", F.col("annual_return").alias("excess_annual"), F.col("calmar").alias("excess_calmar"))
+    return performance(d, by=("symbol",)).join(hits, "symbol").join(more, "symbol", "left")

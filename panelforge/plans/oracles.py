@@ -182,22 +182,60 @@ _RET = "close / nullif(lag(close) OVER w, 0) - 1"
 _WS = "WINDOW w AS (PARTITION BY symbol ORDER BY dt)"
 
 
-def _perf(source: str, by: str = "") -> str:
-    """Performance figures of (by, dt, ret)."""
+def _perf(source: str, by: str = "", p: str = "p") -> str:
+    """Performance figures of (by, dt, ret), as the table ``{p}f``."""
     part = f"PARTITION BY {by} " if by else ""
     head = f"{by}, " if by else ""
     group = f"GROUP BY {by}" if by else ""
     return f"""
-pv AS (SELECT {head}dt, ret, product(1 + ret) OVER ({part}ORDER BY dt ROWS UNBOUNDED PRECEDING) AS v FROM {source}),
-pd0 AS (SELECT *, v / nullif(max(v) OVER ({part}ORDER BY dt ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd FROM pv),
-pd1 AS (SELECT *, sum(CASE WHEN dd >= 0 THEN 1 ELSE 0 END) OVER ({part}ORDER BY dt ROWS UNBOUNDED PRECEDING) AS calm FROM pd0),
-pd2 AS (SELECT *, sum(CASE WHEN dd < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {head}calm) AS run FROM pd1),
-pf AS (SELECT {head}product(1 + ret) - 1 AS total_return, CASE WHEN product(1 + ret) > 0 THEN pow(product(1 + ret), 252.0 / count(ret)) - 1 ELSE -1.0 END AS annual_return, stddev_pop(ret) * sqrt(252) AS annual_vol,
+{p}v AS (SELECT {head}dt, ret, product(1 + ret) OVER ({part}ORDER BY dt ROWS UNBOUNDED PRECEDING) AS v FROM {source}),
+{p}d0 AS (SELECT *, v / nullif(max(v) OVER ({part}ORDER BY dt ROWS UNBOUNDED PRECEDING), 0) - 1 AS dd FROM {p}v),
+{p}d1 AS (SELECT *, sum(CASE WHEN dd >= 0 THEN 1 ELSE 0 END) OVER ({part}ORDER BY dt ROWS UNBOUNDED PRECEDING) AS calm FROM {p}d0),
+{p}d2 AS (SELECT *, sum(CASE WHEN dd < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {head}calm) AS run FROM {p}d1),
+{p}f AS (SELECT {head}product(1 + ret) - 1 AS total_return, CASE WHEN product(1 + ret) > 0 THEN pow(product(1 + ret), 252.0 / count(ret)) - 1 ELSE -1.0 END AS annual_return, stddev_pop(ret) * sqrt(252) AS annual_vol,
   coalesce(avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252), 0) AS sharpe, min(dd) AS max_drawdown, max(run) AS drawdown_days, avg(CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END) AS win_rate,
-  avg(CASE WHEN ret > 0 THEN ret END) / nullif(abs(avg(CASE WHEN ret < 0 THEN ret END)), 0) AS profit_loss, count(ret) AS n FROM pd2 {group})"""
+  avg(CASE WHEN ret > 0 THEN ret END) / nullif(abs(avg(CASE WHEN ret < 0 THEN ret END)), 0) AS profit_loss, count(ret) AS n,
+  CASE WHEN min(dd) < 0 THEN (CASE WHEN product(1 + ret) > 0 THEN pow(product(1 + ret), 252.0 / count(ret)) - 1 ELSE -1.0 END) / abs(min(dd)) ELSE 0 END AS calmar FROM {p}d2 {group})"""
 
 
-_PERF_OUT = ", ".join(r6(c, c) for c in ("total_return", "annual_vol", "sharpe", "max_drawdown", "win_rate", "profit_loss")) + ", CAST(drawdown_days AS BIGINT) AS drawdown_days, n"
+_PERF_OUT = ", ".join(r6(c, c) for c in ("total_return", "annual_return", "annual_vol", "sharpe", "max_drawdown", "calmar", "win_rate", "profit_loss")) + ", CAST(drawdown_days AS BIGINT) AS drawdown_days, n"
+
+_TIMING = (
+    BW
+    + """,
+mc AS (SELECT dt, symbol, close, coalesce(sign(CASE WHEN count(close) OVER f = 5 THEN avg(close) OVER f END - CASE WHEN count(close) OVER s = 20 THEN avg(close) OVER s END), 0) AS s FROM bw
+  WINDOW f AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), s AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+tr AS (SELECT dt, symbol, s, close / nullif(lag(close) OVER w, 0) - 1 AS r, lag(s, 2) OVER w AS s2 FROM mc WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
+ts AS (SELECT dt, symbol, s, r, coalesce(s2 * r, 0) / 100 AS ret FROM tr)"""
+)
+#: The simulator as a recursion over events: of each date the sales (q = 0), then its purchases one by one.
+_RECURSIVE = (
+    "WITH RECURSIVE "
+    + BM
+    + """,
+sg AS (SELECT dt, symbol, close, volume, close / nullif(lag(close, 5) OVER (PARTITION BY symbol ORDER BY dt), 0) - 1 AS s FROM bmg),
+pk AS (SELECT dt, symbol, row_number() OVER (PARTITION BY dt ORDER BY s DESC, symbol) AS n FROM sg WHERE s > 0 AND close IS NOT NULL AND volume > 0),
+k AS (SELECT dt, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY dt) AS w FROM pk WHERE n <= 5),
+gl AS (SELECT g.dt, CAST(g.symbol AS VARCHAR) AS symbol, row_number() OVER (PARTITION BY g.dt ORDER BY CAST(g.symbol AS VARCHAR)) AS j, last_value(ln(g.close) IGNORE NULLS) OVER w AS p, coalesce(lag(coalesce(k.w, 0)) OVER w, 0) AS w
+  FROM bmg g LEFT JOIN k ON k.dt = g.dt AND k.symbol = g.symbol WINDOW w AS (PARTITION BY g.symbol ORDER BY g.dt)),
+days AS (SELECT dt, list(coalesce(p, 0) ORDER BY j) AS prices, list(w ORDER BY j) AS weights, list(symbol ORDER BY j) AS names FROM gl GROUP BY 1),
+ev AS (SELECT row_number() OVER (ORDER BY dt, q) - 1 AS e, * FROM (
+  SELECT dt, 0 AS q, 0 AS j FROM days UNION ALL SELECT dt, row_number() OVER (PARTITION BY dt ORDER BY w DESC, j) AS q, j FROM gl WHERE w > 0)),
+st AS (
+  SELECT -1::BIGINT AS e, DATE '1900-01-01' AS dt, 1e6::DOUBLE AS cash, list_transform(prices, lambda x: 0.0::DOUBLE) AS sh, list_transform(prices, lambda x: 0.0::DOUBLE) AS goal, 0.0::DOUBLE AS before, 0.0::DOUBLE AS notional, 0.0::DOUBLE AS bought, 0.0::DOUBLE AS sold
+  FROM (SELECT * FROM days ORDER BY dt LIMIT 1)
+  UNION ALL
+  SELECT e, dt, CASE WHEN q = 0 THEN cash + list_dot_product(list_transform(sh, lambda x, i: greatest(x - goal[i], 0)), prices) * 0.998 ELSE cash - qty * prices[j] * 1.002 END,
+    CASE WHEN q = 0 THEN list_transform(sh, lambda x, i: least(x, goal[i])) ELSE list_transform(sh, lambda x, i: CASE WHEN i = j THEN x + qty ELSE x END) END, goal, before,
+    CASE WHEN q = 0 THEN list_dot_product(list_transform(sh, lambda x, i: greatest(x - goal[i], 0)), prices) ELSE notional + qty * prices[j] END,
+    CASE WHEN q = 0 THEN 0 ELSE bought + qty END, CASE WHEN q = 0 THEN list_sum(list_transform(sh, lambda x, i: greatest(x - goal[i], 0))) ELSE sold END
+  FROM (SELECT *, CASE WHEN q > 0 THEN greatest(least(goal[j] - sh[j], floor(cash / (prices[j] * 1.002))), 0) END AS qty
+    FROM (SELECT ev.e, ev.dt, ev.q, ev.j, d.prices, st.cash, st.sh, st.bought, st.sold, st.notional, CASE WHEN ev.q = 0 THEN st.cash + list_dot_product(st.sh, d.prices) ELSE st.before END AS before,
+        CASE WHEN ev.q = 0 THEN list_transform(d.weights, lambda w, i: CASE WHEN w > 0 AND d.prices[i] > 0 THEN floor((st.cash + list_dot_product(st.sh, d.prices)) * w / (d.prices[i] * 1.002)) ELSE 0 END) ELSE st.goal END AS goal
+      FROM st JOIN ev ON ev.e = st.e + 1 JOIN days d ON d.dt = ev.dt))),
+fin AS (SELECT st.*, d.prices, d.names FROM st JOIN days d USING (dt) QUALIFY row_number() OVER (PARTITION BY dt ORDER BY e DESC) = 1)
+"""
+)
 
 ORACLES: dict[str, str] = {
     "panel_monthly_bars": with_(BM, f"SELECT dt, symbol, {r6('open', 'open')}, {r6('high', 'high')}, {r6('low', 'low')}, {r6('close', 'close')}, volume, round(amount, 2) AS amount FROM bm"),
@@ -309,6 +347,18 @@ pk AS (SELECT dt, symbol, row_number() OVER (PARTITION BY dt ORDER BY s DESC, sy
 k AS (SELECT dt, symbol, 1.0 / count(*) OVER (PARTITION BY dt) AS w FROM pk WHERE n <= 5)""",
         f"SELECT g.dt, g.symbol, {r6('coalesce(k.w, 0)', 'weight')} FROM bmg g LEFT JOIN k ON k.dt = g.dt AND k.symbol = g.symbol",
     ),
+    "execution_simulation": _RECURSIVE
+    + f"""SELECT dt, round(cash + list_dot_product(sh, prices), 2) AS equity, round(cash, 2) AS cash, {r6('(cash + list_dot_product(sh, prices)) / 1e6', 'nav')},
+  {r6('(cash + list_dot_product(sh, prices)) / coalesce(lag(cash + list_dot_product(sh, prices)) OVER (ORDER BY dt), 1e6) - 1', 'ret')}, {r6('notional / before', 'turnover')},
+  round(notional, 2) AS notional, round(notional * 0.001, 2) AS commission, round(notional * 0.001, 2) AS slippage, round(notional * 0.002, 2) AS cost, bought, sold FROM fin""",
+    "execution_positions": _RECURSIVE
+    + f"""SELECT dt, symbol, shares, {r6('shares * p / (cash + list_dot_product(sh, prices))', 'weight')}
+FROM (SELECT dt, cash, sh, prices, unnest(names) AS symbol, unnest(sh) AS shares, unnest(prices) AS p FROM fin) WHERE shares <> 0""",
+    "timing_nav": with_(_TIMING, f"SELECT symbol, dt, {r6('ret', 'ret')}, {r6('product(1 + ret) OVER (PARTITION BY symbol ORDER BY dt ROWS UNBOUNDED PRECEDING)', 'nav')} FROM ts"),
+    "benchmark_nav": with_(
+        BW + ", bc AS (SELECT dt, ln(arg_min(close, symbol)) AS close FROM bw GROUP BY 1)",
+        f"SELECT dt, {r6('close / lag(close) OVER w - 1', 'ret')}, {r6('close / first_value(close) OVER w', 'nav')} FROM bc WINDOW w AS (ORDER BY dt)",
+    ),
     "performance": with_(SERIES + "," + _perf("ser"), f"SELECT {_PERF_OUT} FROM pf"),
     "monthly_returns": with_(SERIES, f"SELECT CAST(year(dt) AS INT) AS year, CAST(month(dt) AS INT) AS month, {r6('product(1 + ret) - 1', 'ret')} FROM ser GROUP BY 1, 2"),
     "rolling_sharpe": with_(SERIES, f"SELECT dt, {r6('CASE WHEN count(ret) OVER x = 12 THEN avg(ret) OVER x / nullif(stddev_pop(ret) OVER x, 0) * sqrt(252) END', 'sharpe')} FROM ser WINDOW x AS (ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"),
@@ -326,14 +376,12 @@ rs AS (SELECT dd.dt, dd.symbol, CASE WHEN dd.i > 14 THEN 100 - 100 / (1 + CASE W
         f"SELECT dt, symbol, {r6('rsi', 'rsi')}, CASE WHEN rsi < 30 THEN 1.0 WHEN rsi > 70 THEN -1.0 ELSE 0.0 END::DOUBLE AS signal FROM rs",
     ),
     "timing_summary": with_(
-        BW + """,
-mc AS (SELECT dt, symbol, close, coalesce(sign(CASE WHEN count(close) OVER f = 5 THEN avg(close) OVER f END - CASE WHEN count(close) OVER s = 20 THEN avg(close) OVER s END), 0) AS s FROM bw
-  WINDOW f AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), s AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-tr AS (SELECT dt, symbol, s, close / nullif(lag(close) OVER w, 0) - 1 AS r, lag(s, 2) OVER w AS s2 FROM mc WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
-ts AS (SELECT dt, symbol, s, r, coalesce(s2 * r, 0) / 100 AS ret FROM tr),
-hit AS (SELECT symbol, avg(CASE WHEN s <> 0 AND r IS NOT NULL THEN CASE WHEN s = sign(r) THEN 1.0 ELSE 0.0 END END) AS direction_win_rate FROM ts GROUP BY 1),"""
-        + _perf("ts", "symbol"),
-        f"SELECT pf.symbol, {r6('direction_win_rate', 'direction_win_rate')}, {_PERF_OUT} FROM pf JOIN hit ON hit.symbol = pf.symbol",
+        _TIMING + """,
+hit AS (SELECT symbol, avg(CASE WHEN s <> 0 AND r IS NOT NULL THEN CASE WHEN s = sign(r) THEN 1.0 ELSE 0.0 END END) AS direction_win_rate FROM ts GROUP BY 1),
+one AS (SELECT dt, ln(close) / lag(ln(close)) OVER (ORDER BY dt) - 1 AS b FROM bw WHERE symbol = 3),
+ex AS (SELECT symbol, dt, ret - b AS ret FROM ts JOIN one USING (dt) WHERE b IS NOT NULL),"""
+        + _perf("ts", "symbol") + "," + _perf("ex", "symbol", "x"),
+        f"SELECT pf.symbol, {r6('direction_win_rate', 'direction_win_rate')}, {_PERF_OUT}, {r6('ea', 'excess_annual')}, {r6('ec', 'excess_calmar')} FROM pf JOIN hit ON hit.symbol = pf.symbol LEFT JOIN (SELECT symbol, annual_return AS ea, calmar AS ec FROM xf WHERE n > 1) x ON x.symbol = pf.symbol",
     ),
     "class_labels": with_(
         PAIRS + ", n AS (SELECT *, count(*) OVER (PARTITION BY dt) AS n, row_number() OVER (PARTITION BY dt ORDER BY fwd_ret DESC, symbol) AS u, row_number() OVER (PARTITION BY dt ORDER BY fwd_ret, symbol) AS d FROM pairs0 WHERE fwd_ret IS NOT NULL)",

@@ -67,7 +67,7 @@ class StrategyPipeline:
         grid = A.dense_grid(self.bars).join(self.signals.select("dt", "symbol", "signal"), ["dt", "symbol"], "left")
         weights = P.top_k_weights(grid, k=self.k, least=self.least)
         sim = P.simulate(weights, self.bars, price, self.capital, self.commission, self.slippage)
-        return {"signals": self.signals, "weights": weights, "daily": sim.daily, "trades": sim.trades, "stats": P.performance(sim.daily)}
+        return {"signals": self.signals, "weights": weights, "daily": sim.daily, "trades": sim.trades, "positions": sim.positions, "stats": P.performance(sim.daily)}
 
 
 @dataclass

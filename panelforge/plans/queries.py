@@ -270,12 +270,23 @@ def _weights(spark, sf):
 QUERIES["top_k_weights"] = lambda spark, sf: r6(_weights(spark, sf), "weight")
 
 
+def _simulation(spark, sf):
+    """Derived prices jump by factors, so their logarithms are traded."""
+    return P.simulate(_weights(spark, sf), S.monthly_bars(spark, sf).withColumn("close", F.log("close")))
+
+
 @query("execution_simulation")
 def _(spark, sf):
-    return r6(P.simulate(_weights(spark, sf), S.monthly_bars(spark, sf)).daily, "equity", "cash", "ret", "turnover")
+    cents = {c: F.round(c, 2) for c in ("equity", "cash", "notional", "commission", "slippage", "cost")}
+    return r6(_simulation(spark, sf).daily.drop("strategy"), "nav", "ret", "turnover").withColumns(cents)
 
 
-_PERF = ("total_return", "annual_vol", "sharpe", "max_drawdown", "win_rate", "profit_loss")
+@query("execution_positions")
+def _(spark, sf):
+    return r6(_simulation(spark, sf).positions, "weight").drop("strategy")
+
+
+_PERF = ("total_return", "annual_return", "annual_vol", "sharpe", "max_drawdown", "calmar", "win_rate", "profit_loss")
 QUERIES["performance"] = lambda spark, sf: r6(P.performance(series(spark, sf)), *_PERF).select(*_PERF, "drawdown_days", "n")
 QUERIES["monthly_returns"] = lambda spark, sf: r6(P.monthly_returns(series(spark, sf)), "ret")
 QUERIES["rolling_sharpe"] = lambda spark, sf: r6(P.rolling_sharpe(series(spark, sf), 12), "sharpe")
@@ -291,11 +302,24 @@ QUERIES["ma_cross"] = lambda spark, sf: S.weekly_bars(spark, sf).select("dt", "s
 QUERIES["rsi"] = lambda spark, sf: r6(Fa.rsi(S.weekly_bars(spark, sf)), "rsi")
 
 
+def _timed(spark, sf):
+    bars = S.weekly_bars(spark, sf)
+    return bars.select("dt", "symbol", Fa.ma_cross().alias("signal")), bars
+
+
+def _damped(spark, sf):
+    return S.weekly_bars(spark, sf).withColumn("close", F.log("close"))
+
+
+QUERIES["timing_nav"] = lambda spark, sf: r6(P.timing_returns(*_timed(spark, sf), scale=0.01).select("symbol", "dt", "ret", "nav"), "ret", "nav")
+QUERIES["benchmark_nav"] = lambda spark, sf: r6(P.benchmark_nav(P.benchmark_close(_damped(spark, sf))), "ret", "nav")
+
+
 @query("timing_summary")
 def _(spark, sf):
-    bars = S.weekly_bars(spark, sf)
-    out = P.timing_summary(bars.select("dt", "symbol", Fa.ma_cross().alias("signal")), bars, scale=0.01)
-    return r6(out, "direction_win_rate", *_PERF).select("symbol", "direction_win_rate", *_PERF, "drawdown_days", "n")
+    one = P.benchmark_nav(P.benchmark_close(_damped(spark, sf), 3))
+    made = ("direction_win_rate", *_PERF, "excess_annual", "excess_calmar")
+    return r6(P.timing_summary(*_timed(spark, sf), scale=0.01, benchmark=one), *made).select("symbol", *made, "drawdown_days", "n")
 
 
 QUERIES["class_labels"] = lambda spark, sf: M.class_labels(panel(spark, sf)).select("dt", "symbol", "label")

@@ -57,6 +57,41 @@ def test_simulator_sells_before_it_buys(spark):
     assert [tuple(r) for r in got] == [("A", 10), ("A", -10), ("B", 10)]
 
 
+def test_simulator_records(spark):
+    """Costs, carried weights and prices, negative weights, a name without a price, and a date without bars of the held name."""
+    d = days(4)
+    bars = frame(spark, [(d[0], "A", 10.0), (d[0], "B", 5.0), (d[1], "A", 20.0), (d[2], "B", 5.0), (d[3], "A", 0.0), (d[3], "B", 5.0)], "dt date, symbol string, adj_close double").withColumn("close", F.lit(1.0))
+    w = frame(spark, [(d[0], "A", 0.5), (d[0], "B", -0.5), (d[0], "C", 0.5)], "dt date, symbol string, weight double")
+    sim = P.simulate(w, bars, capital=1000.0, commission=0.01, slippage=0.02)
+    daily = sim.daily.orderBy("dt").collect()
+    bought = int(500 // (20 * 1.03))
+    less = int(0.5 * (1000 - 0.6 * bought) // (20 * 1.03))  # the carried weight of what costs have left
+    assert [r.bought for r in daily] == [0, bought, 0, 0] and [r.notional for r in daily] == [0, 20.0 * bought, 20.0 * (bought - less), 0]
+    assert (daily[1].commission, daily[1].slippage, daily[1].cost) == pytest.approx((0.2 * bought, 0.4 * bought, 0.6 * bought))
+    assert daily[1].equity == pytest.approx(1000 - 0.6 * bought) and daily[1].nav == pytest.approx(daily[1].equity / 1000)
+    assert daily[3].sold == less and daily[3].equity == pytest.approx(daily[2].cash)  # at a price of 0 there is no target
+    held = sim.positions.where(F.col("dt") == F.lit(d[2])).collect()
+    assert [(r.symbol, r.shares) for r in held] == [("A", less)] and held[0].weight == pytest.approx(20.0 * less / daily[2].equity)
+    trade = sim.trades.orderBy("dt").first()
+    assert (trade.action, trade.position_after) == ("buy", bought) and trade.cash_after == pytest.approx(daily[1].cash)
+    with pytest.raises(ValueError):
+        P.simulate(w, bars, capital=0.0)
+
+
+def test_timing_against_a_benchmark(spark):
+    d = days(5)
+    closes = frame(spark, [(x, s, c) for s, cs in (("A", (10.0, 11.0, 12.1, 13.31, 14.641)), ("Z", (5.0, 5.0, 5.0, 5.5, 5.5))) for x, c in zip(d, cs, strict=True)], "dt date, symbol string, close double")
+    signals = closes.where("symbol = 'A'").select("dt", "symbol", F.lit(1.0).alias("signal"))
+    bench = P.benchmark_nav(P.benchmark_close(closes, "Z"))
+    assert [r.nav for r in bench.orderBy("dt").collect()] == pytest.approx([1, 1, 1, 1.1, 1.1])
+    assert [r.close for r in P.benchmark_close(closes).orderBy("dt").collect()] == [10.0, 11.0, 12.1, 13.31, 14.641]
+    got = P.timing_summary(signals, closes, benchmark=bench).first()
+    excess = np.array([0, 0.1, 0.1 - 0.1, 0.1])
+    assert got.excess_annual == pytest.approx(np.prod(1 + excess) ** (252 / 4) - 1) and got.excess_calmar == 0
+    alone = P.timing_summary(signals, closes).first()
+    assert alone.excess_annual == pytest.approx(alone.annual_return)
+
+
 def test_rebalance_returns(spark):
     d = days(5)
     rows = [(d[i], "A", 10.0 + i, 10.5 + i) for i in range(5)] + [(d[i], "B", 20.0 + 2 * i, 20.5 + 2 * i) for i in range(5)]
