@@ -69,6 +69,31 @@ def most_frequent(counts: DataFrame, most: int, times: str = "times") -> DataFra
     return counts.where(F.lit(False)) if least is None else counts.where(F.col(times) >= least)
 
 
+#: Rows of a table of key bits, and bits of each: 8 MB in all, whatever the number of keys.
+BIT_ROWS, BITS = 2048, 32_768
+
+
+def key_bits(hashes: DataFrame) -> DataFrame:
+    """A set of 64-bit hashes (the one column) as bits: at most ``BIT_ROWS`` rows of ``BITS`` bits, for ``maybe_in``."""
+    h = F.col(hashes.columns[0])
+    at = F.shiftrightunsigned(h, 11).bitwiseAND(F.lit(BITS - 1))
+    bits = hashes.where(h.isNotNull()).groupBy(h.bitwiseAND(F.lit(BIT_ROWS - 1)).cast("int").alias("_bit_row")).agg(F.bitmap_construct_agg(at).alias("_bits"))
+    return durable(bits, "key-bits")
+
+
+def maybe_in(df: DataFrame, h: Column, bits: DataFrame, out: str) -> DataFrame:
+    """Adds ``out``: false only for rows whose hash is not in the set; true also for a share of others that grows with the set.
+
+    The broadcast table is bounded by its making.  With it, rows that a key table can't touch stay where they are,
+    and only the others go through an exact join.
+    """
+    at = F.shiftrightunsigned(h, 11).bitwiseAND(F.lit(BITS - 1))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1, F.lit(False))
+    joined = df.join(F.broadcast(bits), h.bitwiseAND(F.lit(BIT_ROWS - 1)).cast("int") == F.col("_bit_row"), "left")
+    return joined.withColumn(out, hit).drop("_bit_row", "_bits")
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
@@ -83,23 +108,24 @@ def numbered(
     within their cell, and shifted by the totals of the cells before it.  The
     number starts at 0 and excludes the row's own weight.  ``order`` must be total
     for reruns to agree.  The cell totals (a row for each group and cell) are joined
-    by key, broadcast by Spark only when it finds them small.
+    by key, broadcast by Spark only when it finds them small.  Names that start with
+    ``_nb`` are reserved.
     """
     from pyspark.sql import Window
 
     rows = df.count() if rows is None else rows
     cells = max(64, -(-rows // rows_per_cell))
     w = F.lit(1).cast("long") if weight is None else weight
-    celled = df.withColumn("_cell", F.pmod(spread, F.lit(cells)).cast("int")).withColumn("_w", w)
-    keys = [*group, "_cell"]
-    totals = celled.groupBy(*keys).agg(F.sum("_w").alias("_total"))
-    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.withColumn("_shift", F.coalesce(F.sum("_total").over(before), F.lit(0))).select(*[F.col(k).alias(f"_k_{k}") for k in keys], "_shift")
+    celled = df.withColumn("_nb_cell", F.pmod(spread, F.lit(cells)).cast("int")).withColumn("_nb_w", w)
+    keys = [*group, "_nb_cell"]
+    totals = celled.groupBy(*keys).agg(F.sum("_nb_w").alias("_nb_total"))
+    before = Window.partitionBy(*group).orderBy("_nb_cell").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.withColumn("_nb_shift", F.coalesce(F.sum("_nb_total").over(before), F.lit(0))).select(*[F.col(k).alias(f"_nbk_{k}") for k in keys], "_nb_shift")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = celled.withColumn("_local", F.coalesce(F.sum("_w").over(inside), F.lit(0)))
-    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    local = celled.withColumn("_nb_local", F.coalesce(F.sum("_nb_w").over(inside), F.lit(0)))
+    cond = [F.col(k).eqNullSafe(F.col(f"_nbk_{k}")) for k in keys]
     joined = local.join(shifts, cond, "left")
-    return joined.withColumn(out, (F.col("_local") + F.col("_shift")).cast("long")).drop("_cell", "_w", "_local", "_shift", *[f"_k_{k}" for k in keys])
+    return joined.withColumn(out, (F.col("_nb_local") + F.col("_nb_shift")).cast("long")).drop("_nb_cell", "_nb_w", "_nb_local", "_nb_shift", *[f"_nbk_{k}" for k in keys])
 
 
-__all__ = ["SPACES", "WORD", "durable", "most_frequent", "n_words", "numbered", "per_worker", "shared_dir", "small_batches", "text_parts"]
+__all__ = ["SPACES", "WORD", "durable", "key_bits", "maybe_in", "most_frequent", "n_words", "numbered", "per_worker", "shared_dir", "small_batches", "text_parts"]

@@ -84,8 +84,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup(_documents(spark, sf_dir, "doc_id", "text"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
+    # The digest is made before rows are joined, so no text is shuffled.
+    docs = _documents(spark, sf_dir, "doc_id", "text").withColumn("text_sha256", F.sha2(normalised(F.col("text")), 256))
+    return exact_dedup(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import queries as Q
-from panelforge.llm.common import most_frequent, numbered
+from panelforge.llm.common import key_bits, maybe_in, most_frequent, numbered
 from panelforge.llm.components import components
 from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.jaccard import bitmap, folded, jaccard_classes, overlap_bound
@@ -644,9 +644,22 @@ def test_sharding_query(spark):
 # ---- 10: exact dedup
 
 
-@pytest.mark.parametrize("bound", [150_000, 0])
-def test_exact_dedup(docs, empty, bound):
-    out = exact_dedup(docs, broadcast_groups=bound).collect()
+def test_key_bits_miss_no_key(spark):
+    bits = key_bits(spark.range(0, 3000, 3).select(F.xxhash64("id")))
+    got = maybe_in(spark.range(3000), F.xxhash64("id"), bits, "hit").collect()
+    assert all(r.hit for r in got if r.id % 3 == 0) and sum(r.hit for r in got) < 1010
+    assert not any(r.hit for r in maybe_in(spark.range(9), F.xxhash64("id"), key_bits(spark.range(0).select(F.xxhash64("id"))), "hit").collect())
+
+
+@pytest.mark.parametrize("bits", [32_768, 8])
+def test_exact_dedup(docs, empty, bits, monkeypatch):
+    """Also with so few bits that rows without a copy pass for survivors; columns of the outputs' and inner names are kept apart."""
+    from panelforge.llm import common
+
+    monkeypatch.setattr(common, "BITS", bits)
+    docs = docs.withColumn("_size", F.lit(3)).withColumn("_keep", F.lit("z")).withColumn("group_size", F.lit("old"))
+    out = exact_dedup(docs).collect()
+    assert all(r["_size"] == 3 and r["_keep"] == "z" for r in out)
     groups = defaultdict(list)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
