@@ -52,7 +52,7 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_counts(_documents(spark, sf_dir, "doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.jaccard import bitmap, folded, jaccard_classes, overlap_bound
 from panelforge.llm.language import fit_languages, identify
 from panelforge.llm.lm_scores import score_documents
-from panelforge.llm.mixing import ROUNDS, mix_counts, mixed_documents, permuted, source_targets
+from panelforge.llm.mixing import ROUNDS, mix, mix_counts, mixed_documents, permuted, source_targets
 from panelforge.llm.neighbours import nearest
 from panelforge.llm.pieces import CharacterMap, Normaliser, PieceEncoder, encode_pieces
 from panelforge.llm.secrets import listed, scan
@@ -371,13 +371,79 @@ def test_targets_are_the_fixed_point(spark):
     assert got == pytest.approx(water(sizes))
 
 
+def spark_hash(*values):
+    """The engine's hash of columns in turn: numbers as 4 or 8 bytes (a pair says which), strings as UTF-8, nulls skipped."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            data = v.encode() if isinstance(v, str) else struct.pack("<q", v[0]) if isinstance(v, tuple) else struct.pack("<i", v)
+            h = xxhash.xxh64_intdigest(data, seed=h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def brute_permutation(x, n, key):
+    for r in range(ROUNDS):
+        m = (spark_hash((key,), r) % n - x) % n
+        x = m if spark_hash((key,), -1 - r, (max(x, m),)) < 0 else x
+    return x
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
-        df = spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9)).alias("p"), "id")
+        df = permuted(spark.range(n), "p", F.col("id"), F.lit(n), F.lit(9).cast("long"))
+        assert {r.id: r.p for r in df.collect()} == {i: brute_permutation(i, n, 9) for i in range(n)}
         assert sorted(r.p for r in df.collect()) == list(range(n))
-        back = df.select("id", permuted(F.col("p"), F.lit(n).cast("long"), F.lit(9), inverse=True).alias("b"))
-        assert all(r.id == r.b for r in back.collect())
-    assert ROUNDS % 2 == 0
+        assert all(r.id == r.b for r in permuted(df, "b", F.col("p"), F.lit(n), F.lit(9).cast("long"), inverse=True).collect())
+
+
+def brute_mix(rows, block=64, seed=17, slots_a_shard=1024):
+    """Words taken and first shard of each key, slot by slot; keys are distinct and not null."""
+    size = {k: len((t or "").encode().split()) for k, t, _ in rows}
+    sizes = defaultdict(int)
+    for k, _, s in rows:
+        sizes[s] += size[k]
+    target, taken, first, slot = water(dict(sizes)), defaultdict(int), {}, 0
+    cells = max(64, -(-len(rows) // 20_000))
+    jobs = []
+    for s in sorted(sizes, key=lambda s: (s is None, s or "")):
+        order = []
+        for k, t, own in rows:
+            if own == s and size[k]:
+                h = spark_hash(seed, (k,), t)
+                order.append((spark_hash((h,), 1) % cells, h, k))
+        words = [k for _, _, k in sorted(order) for _ in range(size[k])]
+        blocks = -(-len(words) // block)
+        n = min(int(np.floor(blocks * target[s] / sizes[s] + 0.5)), 3 * blocks) if words else 0
+        jobs.append((s, words, blocks, n))
+    total = sum(n for *_, n in jobs)
+    for s, words, blocks, n in jobs:
+        for k in range(n):
+            at = brute_permutation(k % blocks, blocks, spark_hash(seed, "null" if s is None else "s" + s, k // blocks))
+            shard = brute_permutation(slot, total, spark_hash(seed, "shards")) // slots_a_shard
+            slot += 1
+            for w in words[at * block : (at + 1) * block]:
+                taken[w] += 1
+                first[w] = min(first.get(w, shard), shard)
+    return {k: (size[k], taken[k], first.get(k)) for k, _, _ in rows}
+
+
+def test_mix_equals_brute_force(spark):
+    rows = [(i, t, f"s{i % 4}" if i % 5 else None) for i, t in enumerate(TEXTS)]
+    got = mix_counts(spark.createDataFrame(rows, "doc_id long, text string, source string"), shard_slots=64).collect()
+    assert {r.doc_id: (r["size"], r.taken, r.first_shard) for r in got} == brute_mix(rows, slots_a_shard=64)
+
+
+def test_shards_draw_sources_by_weight(spark):
+    m = mix(spark.read.parquet(f"{SMALL}/documents.parquet"), shard_slots=64)
+    drawn = m.shards.toPandas().pivot(index="shard", columns="source", values="drawn").fillna(0)
+    whole = drawn.sum(axis=1).to_numpy()
+    assert (whole[:-1] == 64).all() and drawn.shape[0] > 5
+    share = drawn.sum() / drawn.to_numpy().sum()
+    inner = drawn.iloc[:-1]
+    spread = ((inner - 64 * share) ** 2 / (64 * share * (1 - share))).to_numpy().mean()
+    assert 0.4 < spread < 1.8  # binomial counts have 1 (a little less without replacement), even counts hardly any
 
 
 def test_mix_comes_near_its_targets(spark, docs, empty):
