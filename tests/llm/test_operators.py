@@ -576,6 +576,54 @@ def test_recall_of_the_small_table(spark):
     assert hit / total >= 0.9
 
 
+def test_every_size_is_hashed(spark, monkeypatch):
+    """Tables of few vectors, too, come through rotations; a bucket is not the whole table."""
+    from panelforge.llm import neighbours
+
+    made = []
+    init = neighbours.CrossPolytope.__init__
+    monkeypatch.setattr(neighbours.CrossPolytope, "__init__", lambda self, *a, **k: (init(self, *a, **k), made.append(self))[0])
+    r = np.random.default_rng(6)
+    for n in (130, 500, 1100):
+        x = r.standard_normal((n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        made.clear()
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, rep int")
+        out = nearest(df, F.col("vec_id") % 20 == 0, k=20).toPandas()
+        assert all(c.hashes >= 1 and len(np.unique(c.buckets(x)[:, 0])) > 1 for c in made) and made
+        s = x @ x.T
+        np.fill_diagonal(s, -9)
+        hit = sum(len(set(np.argsort(-s[q])[:20].tolist()) & set(g.vec_id)) for q, g in out.groupby("query_id"))
+        assert out.query_id.nunique() == -(-n // 20) and hit / (20 * out.query_id.nunique()) >= 0.95
+
+
+def test_recall_at_two_hashes(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = nearest(df, F.col("vec_id") % 200 == 0, k=20, hashes=2).toPandas()
+    s = x[::200] @ x.T
+    s[np.arange(40), np.arange(40) * 200] = -9
+    hit = sum(len(set(np.argsort(-s[q // 200])[:20].tolist()) & set(g.vec_id)) for q, g in out.groupby("query_id"))
+    assert hit / 800 >= 0.9
+
+
+@pytest.mark.parametrize(("cosine", "hashes"), [(0.52, 2), (0.65, 3)])
+def test_probes_find_what_is_near_in_larger_tables(cosine, hashes):
+    """Neighbours as near as the top 20 are among 131,000 and 17 million vectors of 64 dimensions, from where so many hashes are used."""
+    from panelforge.llm.neighbours import CrossPolytope
+
+    r = np.random.default_rng(1)
+    q, z = r.standard_normal((2, 60, 64))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    z -= (z * q).sum(axis=1, keepdims=True) * q
+    x = cosine * q + np.sqrt(1 - cosine**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    index = CrossPolytope(64, 18, hashes, 128 * 2 ** (hashes - 1))
+    rows, probes = index.buckets(x), index.probed(q)
+    assert (probes == rows[:, :, None]).any(axis=(1, 2)).mean() >= 0.95
+
+
 @pytest.mark.parametrize("norms", ["one very long vector", "log-normal"])
 def test_recall_with_unequal_norms(spark, norms):
     r = np.random.default_rng(3)
