@@ -182,6 +182,9 @@ _RET = "close / nullif(lag(close) OVER w, 0) - 1"
 _WS = "WINDOW w AS (PARTITION BY symbol ORDER BY dt)"
 
 
+_PRICE = [f"""{r6(f'open / {_C}', 'alpha158_open0')}""", f"""{r6(f'high / {_C}', 'alpha158_high0')}""", f"""{r6(f'low / {_C}', 'alpha158_low0')}""", f"""{r6(f'coalesce(CASE WHEN {_TRADED} / {_C} BETWEEN 0.5 AND 1.5 THEN {_TRADED} END, (open + high + low + close) / 4) / {_C}', 'alpha158_vwap0')}"""]
+
+
 def _perf(source: str, by: str = "", p: str = "p") -> str:
     """Performance figures of (by, dt, ret), as the table ``{p}f``."""
     part = f"PARTITION BY {by} " if by else ""
@@ -274,8 +277,9 @@ mv AS (SELECT dt, sum(abs(w)) / 2 AS t FROM (SELECT dt, symbol, sum(w) AS w FROM
     ),
     "top_holdings": with_(TOP, "SELECT dt, string_agg(CAST(symbol AS VARCHAR), ', ' ORDER BY factor DESC, symbol) AS symbols FROM held GROUP BY 1"),
     "features_kline": with_(BM, f"SELECT dt, symbol, {', '.join(_KSQL)} FROM bmg"),
-    "features_price": with_(BM, f"SELECT dt, symbol, {r6(f'open / {_C}', 'alpha158_open0')}, {r6(f'high / {_C}', 'alpha158_high0')}, {r6(f'low / {_C}', 'alpha158_low0')}, {r6(f'coalesce(CASE WHEN {_TRADED} / {_C} BETWEEN 0.5 AND 1.5 THEN {_TRADED} END, (open + high + low + close) / 4) / {_C}', 'alpha158_vwap0')} FROM bmg"),
-    **{f"rolling_{p}": with_(DERIVED, f"SELECT dt, symbol, {r6(f(5), f'{p}5')}, {r6(f(20), f'{p}20')} FROM d") for p, f in ROLLING.items()},
+    "features_price": with_(BM, f"SELECT dt, symbol, {', '.join(_PRICE)} FROM bmg"),
+    **{f"rolling_{p}": with_(DERIVED, f"SELECT dt, symbol, {', '.join(r6(f(n), f'{p}{n}') for n in (5, 10, 20, 30, 60))} FROM d") for p, f in ROLLING.items()},
+    "features_all_158": with_(DERIVED, f"SELECT dt, symbol, {', '.join(_KSQL + _PRICE)}, {', '.join(r6(f(n), f'alpha158_{p}{n}') for p, f in ROLLING.items() for n in (5, 10, 20, 30, 60))} FROM d"),
     **{f"momentum_{n}": with_(BM, f"SELECT dt, symbol, {r6(f'close / nullif(lag(close, {n}) OVER w, 0) - 1', 'value')} FROM bmg {_WS}") for n in (5, 10, 20)},
     **{
         f"resample_{rule}": with_(

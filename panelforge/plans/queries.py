@@ -128,8 +128,8 @@ def _(spark, sf):
 
 def _rolling(prefix: str):
     def run(spark, sf):
-        f = Fe.ROLLING[prefix]
-        return r6(Fe.derived(week_grid(spark, sf)).select("dt", "symbol", f(5).alias(f"{prefix}5"), f(20).alias(f"{prefix}20")), f"{prefix}5", f"{prefix}20")
+        made = {f"{prefix}{n}": Fe.ROLLING[prefix](n) for n in Fe.WINDOWS}
+        return r6(Fe.derived(week_grid(spark, sf)).select("dt", "symbol", *[c.alias(n) for n, c in made.items()]), *made)
 
     return run
 
@@ -144,8 +144,8 @@ for _r in ("month", "half_month"):
 
 @query("features_all_158")
 def _(spark, sf):
-    """All features in one pass; no SQL of its own, each prefix has one above."""
-    return Fe.features(week_grid(spark, sf))
+    """All features in one pass."""
+    return r6(Fe.features(week_grid(spark, sf)), *Fe.feature_names())
 
 
 @query("as_of_statements")
