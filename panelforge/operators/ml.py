@@ -75,3 +75,92 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     one = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_one", F.lit(1))
     ranked = one.withColumn("_a", average_rank(a, among=["_one"])).withColumn("_b", average_rank(b, among=["_one"]))
     return ranked.agg(correlation(F.col("_a"), F.col("_b")).alias("rho"))
+
+
+def month_end_panel(panel: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """The rows of a panel on the last date of each month, with the named columns (all, if none)."""
+    ends = month_ends(panel.select("dt").distinct())
+    return panel.join(ends, "dt", "left_semi").select("dt", "symbol", *(columns or [c for c in panel.columns if c not in ("dt", "symbol")]))
+
+
+def forward_excess(closes: DataFrame, benchmark: DataFrame, dates: DataFrame | None = None) -> DataFrame:
+    """(dt, symbol, fwd_ret, excess): the return from each of ``dates`` (all) to the next, and what it is above that of the
+    benchmark (dt, close) between the same dates; null where either close is missing."""
+    if dates is not None:
+        closes, benchmark = (d.join(dates, "dt", "left_semi") for d in (closes, benchmark))
+    order = closes.select("dt").distinct().withColumn("_next", F.lead("dt").over(Window.orderBy("dt")))  # calendar-sized
+    step = closes.select("dt", "symbol", "close").join(order, "dt")
+    later = closes.select(F.col("dt").alias("_next"), "symbol", F.col("close").alias("_then"))
+    own = step.join(later, ["_next", "symbol"], "left").select("dt", "symbol", "_next", (div("_then", "close") - 1).alias("fwd_ret"))
+    marks = order.join(benchmark.select("dt", F.col("close").alias("_now")), "dt").join(benchmark.select(F.col("dt").alias("_next"), F.col("close").alias("_then")), "_next")
+    marks = marks.select("dt", (div("_then", "_now") - 1).alias("_bench"))
+    return own.join(marks, "dt", "left").select("dt", "symbol", "fwd_ret", (F.col("fwd_ret") - F.col("_bench")).alias("excess"))
+
+
+def supervised(features: DataFrame, labels: DataFrame, names: Sequence[str], label: str = "label") -> DataFrame:
+    """Rows that have a label of 1 or -1 and all features finite."""
+    whole = F.col(label).isin(1, -1)
+    for n in names:
+        whole = whole & F.col(n).isNotNull() & ~F.isnan(F.col(n).cast("double")) & (F.abs(F.col(n).cast("double")) < F.lit(float("inf")))
+    return features.select("dt", "symbol", *names).join(labels.select("dt", "symbol", label), ["dt", "symbol"]).where(whole)
+
+
+def train_valid(rows: DataFrame, share: float = 0.1, seed: int = 42, keys: Sequence[str] = ("dt", "symbol")) -> tuple[DataFrame, DataFrame]:
+    """Rows in two parts by a hash of their key: about ``share`` of each label's rows validate, the same on every run and
+    for every partitioning."""
+    held = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+    return rows.where(~held), rows.where(held)
+
+
+def fit_pca(train: DataFrame, names: Sequence[str], k: int | None = None, share: float | None = None):
+    """Principal components of the training rows: (transform, explained).  ``k`` components (all), or as many as explain
+    ``share`` of the variance; ``transform`` replaces the features of any frame by ``pc_001`` and so on, centred as the training rows are."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    assemble = VectorAssembler(inputCols=list(names), outputCol="_x")
+    rows = assemble.transform(train)
+    model = PCA(k=k or len(names), inputCol="_x", outputCol="_pc").fit(rows)
+    explained = [float(x) for x in model.explainedVariance.toArray()]
+    if share is not None:
+        total, kept = 0.0, 0
+        while kept < len(explained) and total < share - 1e-12:
+            total, kept = total + explained[kept], kept + 1
+        explained = explained[: max(kept, 1)]
+    means = train.agg(*[F.avg(n).alias(n) for n in names]).first()
+    load = model.pc.toArray()
+    shift = [float(sum((means[n] or 0.0) * load[j][i] for j, n in enumerate(names))) for i in range(len(explained))]
+
+    def transform(df: DataFrame) -> DataFrame:
+        out = model.transform(assemble.transform(df)).withColumn("_a", vector_to_array("_pc"))
+        made = [(F.col("_a")[i] - F.lit(shift[i])).alias(f"pc_{i + 1:03d}") for i in range(len(explained))]
+        return out.select(*[c for c in df.columns if c not in names], *made)
+
+    return transform, explained
+
+
+def classifier_figures(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """One row: AUC of the score, accuracy of its sign (a score of 0 counts as -1), and counts."""
+    hit = (F.col(score) > 0) == (F.col(label) > 0)
+    up = F.col(label) > 0
+    counts = scored.agg(F.avg(hit.cast("double")).alias("accuracy"), F.count(F.when(up, 1)).alias("positive_count"), F.count(F.when(~up, 1)).alias("negative_count"), F.count(F.lit(1)).alias("sample_count"))
+    return auc(scored, score, label).crossJoin(counts)  # one row each
+
+
+def gate_complete_dates(panel: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows of dates on which every row has all features."""
+    missing = F.lit(False)
+    for n in names:
+        missing = missing | F.col(n).isNull()
+    bad = panel.groupBy("dt").agg(F.max(missing.cast("int")).alias("_bad")).where("_bad = 0").select("dt")
+    return panel.join(bad, "dt", "left_semi")
+
+
+def boosted_trees(train: DataFrame, names: Sequence[str], label: str, rounds: int = 100, depth: int = 5, step: float = 0.05, seed: int = 42):
+    """Gradient-boosted regression trees, and features by importance (of rows with all features and a label)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = VectorAssembler(inputCols=list(names), outputCol="_x").transform(train.dropna(subset=[*names, label]))
+    model = GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed).fit(rows)
+    return model, sorted(zip(names, map(float, model.featureImportances.toArray()), strict=True), key=lambda x: -x[1])

@@ -211,6 +211,18 @@ mc AS (SELECT dt, symbol, close, coalesce(sign(CASE WHEN count(close) OVER f = 5
 tr AS (SELECT dt, symbol, s, close / nullif(lag(close) OVER w, 0) - 1 AS r, lag(s, 2) OVER w AS s2 FROM mc WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
 ts AS (SELECT dt, symbol, s, r, coalesce(s2 * r, 0) / 100 AS ret FROM tr)"""
 )
+_FIRST = """
+alldates AS (SELECT 'market' AS "table", dt FROM bm WHERE symbol <> 3 UNION ALL SELECT 'etf', dt FROM bm WHERE symbol <= 3 AND symbol <> 3 UNION ALL SELECT 'fundamental', report_date FROM qs WHERE symbol <> 3
+  UNION ALL SELECT 'alpha158', dt FROM bmg WHERE symbol <> 3 UNION ALL SELECT 'statement', dt FROM qs WHERE symbol <> 3 UNION ALL SELECT 'macro', dt FROM (SELECT DISTINCT CAST(ts AS DATE) AS dt, event_type FROM events)
+  UNION ALL SELECT 'sp500_constituents', quarter FROM (SELECT *, row_number() OVER (PARTITION BY quarter ORDER BY revenue DESC, symbol) AS k FROM qs) WHERE k <= 5),
+firsts AS (SELECT "table", min(dt) AS first FROM alldates GROUP BY 1)"""
+_LABELLED = (
+    WEIGHTS
+    + """,
+lb AS (SELECT *, count(*) OVER (PARTITION BY dt) AS n, row_number() OVER (PARTITION BY dt ORDER BY fwd DESC, symbol) AS u, row_number() OVER (PARTITION BY dt ORDER BY fwd, symbol) AS d FROM fac WHERE fwd IS NOT NULL),
+sup AS (SELECT dt, symbol, m1, m3, spread, CAST(vol AS DOUBLE) AS vol, CASE WHEN u <= floor(n * 0.3) THEN 1 ELSE -1 END AS label FROM lb
+  WHERE n >= 30 AND (u <= floor(n * 0.3) OR d <= floor(n * 0.3)) AND m1 IS NOT NULL AND m3 IS NOT NULL AND spread IS NOT NULL AND vol IS NOT NULL)"""
+)
 #: The simulator as a recursion over events: of each date the sales (q = 0), then its purchases one by one.
 _RECURSIVE = (
     "WITH RECURSIVE "
@@ -407,9 +419,31 @@ zz AS (SELECT dt, symbol, factor, (v - avg(v) OVER p) / nullif(stddev_samp(v) OV
         f"SELECT zz.dt, symbol, {r6('sum(z * weight) / sum(weight)', 'value')} FROM zz JOIN rw ON rw.dt = zz.dt AND rw.factor = zz.factor WHERE weight > 0 AND z IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3",
     ),
     "stale_symbols": with_(
-        BM + ", have AS (SELECT symbol, max(dt) AS last_dt, count(*) AS n FROM bm WHERE symbol % 7 <> 0 OR dt < DATE '2001-06-01' GROUP BY 1)",
-        "SELECT s_suppkey AS symbol, last_dt, coalesce(n, 0) AS n FROM supplier LEFT JOIN have ON have.symbol = s_suppkey WHERE last_dt IS NULL OR last_dt + 30 < DATE '2001-11-30'",
+        BM + ", have AS (SELECT symbol, max(dt) AS last_dt, count(*) AS n FROM bm GROUP BY 1)",
+        "SELECT s_suppkey AS symbol, last_dt, coalesce(n, 0) AS n FROM supplier LEFT JOIN have ON have.symbol = s_suppkey WHERE last_dt IS NULL OR last_dt + 30 < DATE '2001-12-01'",
+    ),
+    "table_market": with_(BM, f"SELECT dt, CAST(symbol AS VARCHAR) AS symbol, {r6('close', 'close')}, {r6('close', 'adj_close')} FROM bm WHERE symbol IN (1, 2, 4) AND dt BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'"),
+    "table_etf": with_(BM, f"SELECT dt, CAST(symbol AS VARCHAR) AS symbol, {r6('close', 'close')} FROM bm WHERE symbol <= 3 AND symbol <> 3 AND dt >= DATE '1996-01-01'"),
+    "table_fundamental": with_(QS, f"SELECT report_date AS dt, CAST(symbol AS VARCHAR) AS symbol, {r6('revenue / total_assets', 'ps')}, {r6('equity', 'market_cap')} FROM qs WHERE symbol <> 3 AND report_date <= DATE '2000-12-31'"),
+    "table_alpha158": with_(BM, f"SELECT dt, CAST(symbol AS VARCHAR) AS symbol, {', '.join(_KSQL)} FROM bmg WHERE symbol <> 3 AND dt >= DATE '1998-01-01'"),
+    "table_statement": with_(QS, "SELECT dt, CAST(symbol AS VARCHAR) AS symbol, report_date, round(revenue, 2) AS revenue, round(net_income, 2) AS net_income FROM qs WHERE symbol <> 3 AND dt BETWEEN DATE '1999-01-01' AND DATE '2000-03-31'"),
+    "table_macro": f"SELECT CAST(ts AS DATE) AS dt, event_type AS series_id, CAST(min(ts) AS DATE) AS observation_date, {r6('max(value)', 'value')}, 'unit' AS units FROM events GROUP BY 1, 2",
+    "table_constituents": with_(QS, "SELECT quarter AS dt, CAST(symbol AS VARCHAR) AS symbol, CASE WHEN k > 1 THEN quarter END AS updated_at FROM (SELECT *, row_number() OVER (PARTITION BY quarter ORDER BY revenue DESC, symbol) AS k FROM qs) WHERE k <= 5 AND quarter >= DATE '1997-01-01'"),
+    "table_industry": "SELECT CAST(s_suppkey AS VARCHAR) AS symbol, r_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey IN (1, 2, 3)",
+    "preload_ranges": with_(BM + "," + QS + "," + _FIRST, "SELECT \"table\", greatest(first, DATE '1995-03-15') AS first, DATE '1996-03-14' AS last FROM firsts WHERE greatest(first, DATE '1995-03-15') <= DATE '1996-03-14'"),
+    "preload_rows": with_(BM + "," + QS + "," + _FIRST, "SELECT \"table\", count(dt) AS n, min(dt) AS first, max(dt) AS last FROM (SELECT DISTINCT \"table\" FROM alldates) LEFT JOIN (SELECT * FROM alldates WHERE dt >= DATE '1995-03-15' AND dt < DATE '1996-03-15') USING (\"table\") GROUP BY 1"),
+    "report_rows": with_(QS, "SELECT CAST(symbol AS VARCHAR) AS symbol, report_date, CASE WHEN symbol % 5 <> 0 THEN report_date END AS filing_date, round(revenue, 2) AS revenue, CASE WHEN net_income > 1e6 THEN NULL ELSE round(net_income, 2) END AS net_income FROM qs"),
+    "month_end_panel": with_(BW, f"SELECT dt, symbol, {r6('close', 'close')} FROM bwg WHERE dt IN (SELECT max(dt) FROM bw GROUP BY date_trunc('month', dt))"),
+    "forward_excess": with_(
+        BM + ", l AS (SELECT dt, symbol, ln(close) AS c FROM bm WHERE month(dt) IN (1, 4, 7, 10)), nx AS (SELECT dt, lead(dt) OVER (ORDER BY dt) AS nd FROM (SELECT DISTINCT dt FROM l)), fw AS (SELECT l.dt, l.symbol, n.c / l.c - 1 AS r FROM l JOIN nx USING (dt) LEFT JOIN l n ON n.dt = nx.nd AND n.symbol = l.symbol)",
+        f"SELECT f.dt, f.symbol, {r6('f.r', 'fwd_ret')}, {r6('f.r - b.r', 'excess')} FROM fw f LEFT JOIN fw b ON b.dt = f.dt AND b.symbol = 1",
+    ),
+    "supervised_set": with_(_LABELLED, f"SELECT dt, symbol, {', '.join(r6(c, c) for c in ('m1', 'm3', 'spread', 'vol'))}, label FROM sup"),
+    "classifier_figures": with_(
+        _LABELLED + ", rk AS (SELECT label, rank() OVER (ORDER BY m3 - 1) + (count(*) OVER (PARTITION BY m3 - 1) - 1) / 2.0 AS r, m3 - 1 AS score FROM sup)",
+        f"SELECT {r6('(sum(CASE WHEN label = 1 THEN r END) - count(CASE WHEN label = 1 THEN 1 END) * (count(CASE WHEN label = 1 THEN 1 END) + 1) / 2.0) / nullif(count(CASE WHEN label = 1 THEN 1 END) * count(CASE WHEN label = -1 THEN 1 END), 0)', 'auc')}, {r6('avg(CASE WHEN (score > 0) = (label = 1) THEN 1.0 ELSE 0.0 END)', 'accuracy')}, count(CASE WHEN label = 1 THEN 1 END) AS positive_count, count(CASE WHEN label = -1 THEN 1 END) AS negative_count, count(*) AS sample_count FROM rk",
     ),
+    "complete_dates": with_(QUALITY, "SELECT dt, symbol FROM ql WHERE dt NOT IN (SELECT dt FROM ql WHERE roeq IS NULL OR droeq IS NULL)"),
     "symbol_codes": """
 WITH c AS (SELECT p_partkey, lpad(CAST(p_partkey * 7919 % 1000000 AS VARCHAR), 6, '0') AS code FROM part),
 m AS (SELECT *, CASE WHEN code[1] = '6' THEN 'SH' WHEN code[1] IN ('4', '8') THEN 'BJ' ELSE 'SZ' END AS mkt FROM c)

@@ -13,8 +13,10 @@ from ..operators import crosssection as X
 from ..operators import evaluate as E
 from ..operators import factors as Fa
 from ..operators import features as Fe
+from ..operators import kernel_svm as K
 from ..operators import ml as M
 from ..operators import portfolio as P
+from ..sources import catalog as T
 from ..sources import panels as S
 from ..streaming import bars as B
 from .oracles import ORACLES
@@ -82,7 +84,7 @@ def _(spark, sf):
     return r6(out, "close").select("dt", "symbol", "close")
 
 
-QUERIES["scan_symbols"] = lambda spark, sf: spark.read.parquet(f"{sf}/lineitem.parquet").select(F.col("l_suppkey").alias("symbol")).distinct()
+QUERIES["scan_symbols"] = lambda spark, sf: S.symbols_of(S.monthly_bars(spark, sf))
 
 
 @query("scan_statements_delayed")
@@ -327,9 +329,111 @@ QUERIES["time_folds"] = lambda spark, sf: M.time_folds(A.calendar(S.monthly_bars
 
 @query("stale_symbols")
 def _(spark, sf):
-    bars = S.monthly_bars(spark, sf).where("symbol % 7 <> 0 OR dt < DATE'2001-06-01'")
     listing = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("symbol"), F.lit(None).cast("date").alias("delist_date"))
-    return S.stale_symbols(bars, listing, "2001-11-30")
+    return S.stale_symbols(S.monthly_bars(spark, sf), listing, "2001-12-01")
+
+
+def _catalog(spark, sf) -> T.Catalog:
+    """The star schema as raw tables of a panel database."""
+    bars, statements = S.monthly_bars(spark, sf), S.quarterly_statements(spark, sf)
+    line = {c.removeprefix("_"): v for c, v in Fe.kline().items()}
+    best = Window.partitionBy("quarter").orderBy(F.desc("revenue"), "symbol")
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    frames = {
+        "market": bars,
+        "etf": bars.where("symbol <= 3"),
+        "fundamental": statements.select("symbol", F.col("report_date").alias("date"), (F.col("revenue") / F.col("total_assets")).alias("ps"), F.col("equity").alias("market_cap"), F.col("cost_revenue").alias("ignored")),
+        "alpha158": A.dense_grid(bars).select("dt", "symbol", "close", *[c.alias(n) for n, c in line.items()]),
+        "statement": statements.select("symbol", "report_date", "filing_date", "revenue", "net_income"),
+        "macro": events.groupBy(F.to_date("ts").cast("string").alias("dt"), F.col("event_type").alias("series_id")).agg(
+            F.date_format(F.min("ts"), "yyyy-MM-dd").alias("observation_date"), F.max("value").alias("value"), F.lit("unit").alias("units"), F.count(F.lit(1)).alias("n")
+        ),
+        "sp500_constituents": statements.withColumn("k", F.row_number().over(best)).where("k <= 5").select("symbol", F.col("quarter").alias("dt"), F.when(F.col("k") == 1, F.lit("unknown")).otherwise(F.col("quarter").cast("string")).alias("updated_at")),
+        "industry": S.industries(spark, sf).select("symbol", F.col("industry").alias("sector"), "book"),
+    }
+    return T.Catalog.of_frames(spark, frames, blocked=(3,))
+
+
+QUERIES["table_market"] = lambda spark, sf: r6(_catalog(spark, sf).table("market", [1, 2, 3, 4], "1996-01-01", "1997-06-30").select("dt", "symbol", "close", "adj_close"), "close", "adj_close")
+QUERIES["table_etf"] = lambda spark, sf: r6(_catalog(spark, sf).table("etf", [9], "1996-01-01").select("dt", "symbol", "close"), "close")
+QUERIES["table_fundamental"] = lambda spark, sf: r6(_catalog(spark, sf).table("fundamental", end="2000-12-31"), "ps", "market_cap")
+QUERIES["table_macro"] = lambda spark, sf: r6(_catalog(spark, sf).table("macro"), "value").withColumn("observation_date", F.to_date("observation_date"))
+QUERIES["table_constituents"] = lambda spark, sf: _catalog(spark, sf).table("sp500_constituents", start="1997-01-01").withColumn("updated_at", F.to_date("updated_at"))
+QUERIES["table_industry"] = lambda spark, sf: _catalog(spark, sf).table("industry", [1, 2, 3])
+QUERIES["preload_ranges"] = lambda spark, sf: _catalog(spark, sf).preload_ranges("1996-03-15")
+
+
+@query("table_alpha158")
+def _(spark, sf):
+    out = _catalog(spark, sf).table("alpha158", start="1998-01-01")
+    return r6(out, *[c for c in out.columns if c not in ("dt", "symbol")])
+
+
+@query("table_statement")
+def _(spark, sf):
+    out = _catalog(spark, sf).table("statement", start="1999-01-01", end="2000-03-31")
+    return out.select("dt", "symbol", "report_date", F.round("revenue", 2).alias("revenue"), F.round("net_income", 2).alias("net_income"))
+
+
+@query("preload_rows")
+def _(spark, sf):
+    parts = [d.groupBy().agg(F.lit(n).alias("table"), F.count(F.lit(1)).alias("n"), F.min("dt").alias("first"), F.max("dt").alias("last")) for n, d in _catalog(spark, sf).preload("1996-03-15").items()]
+    out = parts[0]
+    for d in parts[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+@query("report_rows")
+def _(spark, sf):
+    """Statements as a site would print them: slashes in dates, separators in numbers, dashes for what is missing."""
+    q = S.quarterly_statements(spark, sf)
+    raw = q.select(
+        F.concat(F.lit(" "), F.col("symbol").cast("string")).alias("Code"), F.date_format("report_date", "yyyy/M/d").alias("Report date"), F.when(F.col("symbol") % 5 == 0, F.lit("--")).otherwise(F.date_format("filing_date", "yyyyMMdd")).alias("Filed"),
+        F.format_number("revenue", 2).alias("Revenue"), F.when(F.col("net_income") > 1e6, F.lit("n/a")).otherwise(F.round("net_income", 2).cast("string")).alias("Net"), F.lit("x").alias("Extra"),
+    )
+    names = {"Code": "symbol", "Report date": "report_date", "Filed": "filing_date", "Revenue": "revenue", "Net": "net_income", "Absent": "equity"}
+    return T.report_rows(raw, names)
+
+
+@query("month_end_panel")
+def _(spark, sf):
+    return r6(M.month_end_panel(week_grid(spark, sf), ["close"]), "close")
+
+
+@query("forward_excess")
+def _(spark, sf):
+    bars = S.monthly_bars(spark, sf).withColumn("close", F.log("close"))
+    quarters = A.calendar(bars).where(F.month("dt").isin(1, 4, 7, 10)).select("dt")
+    return r6(M.forward_excess(bars, bars.where("symbol = 1").select("dt", "close"), quarters), "fwd_ret", "excess")
+
+
+def _labelled(spark, sf):
+    made = factor_panel(spark, sf)
+    return M.supervised(made, M.class_labels(made, "fwd"), FACTORS)
+
+
+QUERIES["supervised_set"] = lambda spark, sf: r6(_labelled(spark, sf), *FACTORS)
+
+
+@query("classifier_figures")
+def _(spark, sf):
+    return r6(M.classifier_figures(_labelled(spark, sf).withColumn("score", F.col("m3") - 1)), "auc", "accuracy")
+
+
+@query("complete_dates")
+def _(spark, sf):
+    d = S.quarterly_statements(spark, sf)
+    return M.gate_complete_dates(Fa.quality_subfactors(d).select("dt", "symbol", "roeq", "droeq"), ["roeq", "droeq"]).select("dt", "symbol")
+
+
+@query("svm_scores")
+def _(spark, sf):
+    """A Gaussian-kernel machine on cleaned factors, and its scores: beyond SQL, so counted only; the tests hold it against a plain fit."""
+    raw = factor_panel(spark, sf)
+    ready = M.preprocessed(raw.dropna(subset=list(FACTORS)), FACTORS)
+    trained = K.train_pipeline(ready, M.class_labels(raw, "fwd"), FACTORS, costs=(1.0,), gammas=(0.05,), width=64, rounds=10)
+    return K.selection_scores(raw.dropna(subset=list(FACTORS)), trained, FACTORS)
 
 
 @query("symbol_codes")
