@@ -139,19 +139,19 @@ class LanguageModel:
         total = np.bincount(own, weights=count, minlength=n)
         if not k or not len(own):
             return np.zeros((n, k)), total, np.zeros(n)
-        p = self.p[slot]
+        p = np.ascontiguousarray(self.p[slot].T)  # a row for each language: sums over them run along whole rows
         first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
         rows = own[first]
-        total_rows = total[rows][:, None]
+        total_rows = total[rows]
 
         def fit(mask: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            pi = mask / mask.sum(axis=1, keepdims=True)
+            pi = (mask / mask.sum(axis=1, keepdims=True)).T
             sizes = np.diff(np.r_[first, len(own)])
             for _ in range(rounds):
-                mixed = np.repeat(pi, sizes, axis=0) * p
-                pi = np.add.reduceat(mixed * (count / mixed.sum(axis=1))[:, None], first) / total_rows
-            likely = np.log((np.repeat(pi, sizes, axis=0) * p).sum(axis=1)) * count
-            return pi, np.add.reduceat(likely, first)
+                mixed = np.repeat(pi, sizes, axis=1) * p
+                pi = np.add.reduceat(mixed * (count / mixed.sum(axis=0)), first, axis=1) / total_rows
+            likely = np.log((np.repeat(pi, sizes, axis=1) * p).sum(axis=0)) * count
+            return pi.T, np.add.reduceat(likely, first)
 
         full, _ = fit(np.ones((len(rows), k)), ROUNDS)
         order = np.argsort(-full, axis=1, kind="stable")
