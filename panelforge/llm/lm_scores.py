@@ -32,8 +32,6 @@ ALPHA = 0.4
 CUTOFF = 2
 #: Documents and words after which a chunk closes.
 CHUNK_DOCS, CHUNK_WORDS = 2048, 1 << 21
-#: Not read any more: every n-gram of a chunk goes to its bucket once, whatever the number of its documents.
-SHARED_DOCS = 16
 #: N-grams of chunks in a bucket, at most.
 BUCKET_ROWS = 2_000_000
 #: Hashes of words that a worker keeps.

@@ -109,12 +109,9 @@ ORACLES = {
 WITH w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
 t AS (SELECT doc_id, unnest(l) AS word, unnest(range(1, len(l) + 1)) AS i FROM w WHERE len(l) > 0),
-c AS (SELECT word, count(*) AS times FROM t GROUP BY 1),
-top AS (SELECT word, times, row_number() OVER (ORDER BY times DESC, word) AS id FROM c QUALIFY count(*) OVER (ORDER BY times DESC RANGE UNBOUNDED PRECEDING) <= 131071),
-n AS (SELECT sum(times) AS n FROM c),
-ids AS (SELECT doc_id, i, coalesce(top.id, 0) AS id FROM t LEFT JOIN top USING (word)),
-u AS (SELECT id, count(*) AS times FROM ids GROUP BY 1),
-b AS (SELECT doc_id, i, id AS w2, lag(id) OVER (PARTITION BY doc_id ORDER BY i) AS w1 FROM ids),
+u AS (SELECT word AS id, count(*) AS times FROM t GROUP BY 1),
+n AS (SELECT sum(times) AS n FROM u),
+b AS (SELECT doc_id, i, word AS w2, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS w1 FROM t),
 bc AS (SELECT w1, w2, count(*) AS times FROM b WHERE w1 IS NOT NULL GROUP BY 1, 2),
 s AS (
   SELECT b.doc_id, CAST(round(1e6 * CASE WHEN b.w1 IS NULL THEN ln(u2.times) - ln(n.n) WHEN bc.times >= 2 THEN ln(bc.times) - ln(u1.times) ELSE ln(0.4) + ln(u2.times) - ln(n.n) END) AS BIGINT) AS m

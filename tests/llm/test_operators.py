@@ -493,7 +493,6 @@ def brute_scores(texts, cutoff=2, alpha=0.4):
 def test_scores_equal_brute_force(docs, empty, monkeypatch):
     from panelforge.llm import lm_scores
 
-    monkeypatch.setattr(lm_scores, "SHARED_DOCS", 3)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = sorted(brute_scores([t for _, t in rows]))
     got = sorted((r.n_words, r.score) for r in score_documents(docs).collect())
