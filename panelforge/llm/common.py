@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.sources.staging import durable, shared_dir
 
@@ -43,6 +44,13 @@ def per_worker(key: tuple, make):
     return held[1]
 
 
+def map_beside(df: DataFrame, run, made: list[T.StructField]) -> DataFrame:
+    """``mapInArrow`` that adds the columns ``made`` behind those of ``df``, whose names may be any."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = plain.mapInArrow(run, T.StructType([*plain.schema.fields, *made]))
+    return out.toDF(*df.columns, *[f.name for f in made])
+
+
 def text_parts(batch: pa.RecordBatch, text_at: int, most: int, rows: int = 200) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have at most ``most`` bytes together, or that hold one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
@@ -128,4 +136,4 @@ def numbered(
     return joined.withColumn(out, (F.col("_nb_local") + F.col("_nb_shift")).cast("long")).drop("_nb_cell", "_nb_w", "_nb_local", "_nb_shift", *[f"_nbk_{k}" for k in keys])
 
 
-__all__ = ["SPACES", "WORD", "durable", "key_bits", "maybe_in", "most_frequent", "n_words", "numbered", "per_worker", "shared_dir", "small_batches", "text_parts"]
+__all__ = ["SPACES", "WORD", "durable", "key_bits", "map_beside", "maybe_in", "most_frequent", "n_words", "numbered", "per_worker", "shared_dir", "small_batches", "text_parts"]

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import durable, most_frequent, small_batches
+from .common import durable, key_bits, maybe_in, most_frequent, small_batches
 from .components import components
 
 WORDS = 5
@@ -53,8 +53,6 @@ TILE_PAIRS = 4_000
 LARGE_GROUP, GROUP_TILE = 64, 2048
 #: Shingles of all sets of such a side, at most about (8 bytes each, and as many bits in bitmaps).
 GROUP_SHINGLES = 1 << 20
-#: Most document keys that are broadcast to pick the texts to compare (8 bytes each, about 50 in memory).
-PICK_ROWS = 1_000_000
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], dtype=np.uint64)
 
@@ -376,10 +374,9 @@ def _cut(big: DataFrame) -> DataFrame:
 def _set_table(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """Sets and bitmaps of the classes whose ``s1`` is wanted, from their representatives' texts."""
     wanted = durable(classes.join(wanted.distinct(), "s1").select("rep", "s1", "s2"), "jj-wanted")
-    reps = wanted.select(F.col("rep").alias("doc")).distinct()
-    if reps.count() <= PICK_ROWS:
-        reps = F.broadcast(reps)
-    sets = docs.join(reps, "doc").mapInArrow(_sets(words), "rep long, s1 long, s2 long, n long, bits binary, shingles binary")
+    # A bit set of bounded size picks the texts where they lie; keys that it lets through in error go in the join below.
+    own = maybe_in(docs, F.xxhash64("doc"), key_bits(wanted.select(F.xxhash64("rep"))), "_in").where("_in").select("doc", "text")
+    sets = own.mapInArrow(_sets(words), "rep long, s1 long, s2 long, n long, bits binary, shingles binary")
     # A key may repeat with another text: only the class that it stands for counts.
     return durable(sets.join(wanted.hint("merge"), ["rep", "s1", "s2"], "left_semi").dropDuplicates(["s1", "s2"]), "jj-sets")
 

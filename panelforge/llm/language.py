@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_worker, small_batches, text_parts
+from .common import map_beside, per_worker, small_batches, text_parts
 
 #: Feature slots: character n-grams are hashed to so many.
 SLOTS = 1 << 15
@@ -227,8 +227,8 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataF
     """
     small_batches(docs.sparkSession)
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in ("lang_pred", "score", "languages")])
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType()))])
-    return kept.mapInArrow(_predict(model, kept.columns.index(text)), schema)
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("languages", T.ArrayType(T.StringType()))]
+    return map_beside(kept, _predict(model, kept.columns.index(text)), made)
 
 
 def held_out(key: Column) -> Column:

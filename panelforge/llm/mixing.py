@@ -115,7 +115,7 @@ def mix(
     upto = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     sources = durable(sources.withColumn("first", F.coalesce(F.sum("slots").over(upto), F.lit(0).cast("long"))), "mix-sources")
 
-    total = sources.agg(F.sum("slots")).first()[0] or 0
+    total = max(sources.agg(F.sum("slots")).first()[0] or 0, 1)
     n = F.lit(SLOTS_A_ROW).cast("long")
     rows = sources.where("slots > 0").select("source", "blocks", "slots", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / n))).alias("_at"))
     # Few rows make many slots: a number of partitions by the slots keeps the work spread out.
@@ -193,4 +193,4 @@ def mixed_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", so
     out = out.withColumn(text, F.get(F.transform(F.array(words), taken), F.lit(0)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(F.col(f"`{text}`")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out.select(*[f"`{c}`" for c in docs.columns])

@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import per_worker, small_batches
+from .common import map_beside, per_worker, small_batches, text_parts
 
 BLANK = "▁"
 #: Entries that a worker keeps of its cache of encoded chunks.
 CACHE = 200_000
+#: Bytes of texts that are encoded at a time (one longer text alone).
+PART_BYTES = 1 << 20
 
 
 class CharacterMap:
@@ -180,8 +182,7 @@ def _encode(model: str, text_at: int, ends: bool, outputs: tuple[str, ...]):
         encoder = per_worker(("pieces", model), lambda: PieceEncoder(model))
         tail = np.array([encoder.sp.eos_id()] if ends else [], dtype="<i4")
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
+            for part in text_parts(batch, text_at, PART_BYTES):
                 texts = [t or "" for t in part.column(text_at).to_pylist()]
                 bare = encoder.ids(texts)
                 ids = [np.concatenate([x, tail]) for x in bare]
@@ -211,5 +212,4 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", end_id: bool
     small_batches(docs.sparkSession)
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in outputs or c == text])
     kinds = {"ids": T.ArrayType(T.IntegerType()), "begins": T.ArrayType(T.IntegerType()), "ends": T.ArrayType(T.IntegerType()), "decoded": T.StringType()}
-    schema = T.StructType([*kept.schema.fields, *[T.StructField(o, kinds[o]) for o in outputs]])
-    return kept.mapInArrow(_encode(model, kept.columns.index(text), end_id, tuple(outputs)), schema)
+    return map_beside(kept, _encode(model, kept.columns.index(text), end_id, tuple(outputs)), [T.StructField(o, kinds[o]) for o in outputs])

@@ -67,6 +67,16 @@ def empty(docs):
     return docs.limit(0)
 
 
+def test_any_column_names_go_through(spark):
+    """Further columns with dots in their names, and with those of outputs, neither fail nor change."""
+    d = spark.createDataFrame([(1, "hello world", "x", "q", 1), (2, "hello world again", "y", None, 2)], "doc_id long, text string, `a.b` string, source string, slot int")
+    model = fit_languages(d.withColumn("lang", F.lit("en")))
+    for out in (encode_pieces(d, PIECES), identify(d, model), exact_dedup(d), mix_counts(d), shard(d)):
+        assert {(r.doc_id, r["a.b"]) for r in out.collect()} == {(1, "x"), (2, "y")}
+    assert {(r.doc_id, r["a.b"]) for r in mixed_documents(d).collect()} <= {(1, "x"), (2, "y")}  # those of which nothing is taken go
+    assert sorted(r["slot"] for r in shard(d, 1).collect()) == [0, 1]
+
+
 # ---- shared parts
 
 

@@ -44,3 +44,27 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     whole = {r.doc_id: r.ids for r in P.run(spark, SMALL).collect()}
     assert whole == {r.doc_id: r.ids for r in rows}
     assert Q.QUERIES and P.ORACLE_SQL is None
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, group_size int, `a.b` string, _row string"
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, an empty table, and further columns of clashing names."""
+    body = next(r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").where("lang = 'en' AND n_chars > 2000").collect())
+    rows = [(1, body, "en", "s", 5), (1, body, "en", "s", 5), (2, body + " ", None, None, None), (3, None, "en", "s", 1), (4, "", "en", "s", 0), (5, "12 34", "fr", "t", 5), (None, body + " more words at the end", "en", "s", 1)]
+    rows += [(6, " ".join([body] * 30), "en", "u", 9), (7, "word", "en", None, 4)]
+    docs = spark.createDataFrame([(*r, "k", "0.5", 7, "dot", "row") for r in rows], ODD)
+    expected = [{1, 2, 6, 7, None}, {2, 6, 7, None}, {2, 7, None}, None]  # 6 repeats 2, so its set of shingles is nearly the same
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+        out = stage(spark, docs, SMALL)
+        assert out.schema.simpleString() == docs.schema.simpleString()
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        got = docs.collect()
+        assert all((r.kept, r.score, r.group_size, r["a.b"], r["_row"]) == ("k", "0.5", 7, "dot", "row") for r in got)
+        if expected[k] is not None:
+            assert {r.doc_id for r in got} == expected[k]
+    last = P.pieces(spark, docs, SMALL)
+    assert last.count() == docs.count() and P.pieces(spark, docs.limit(0), SMALL).count() == 0
