@@ -211,6 +211,78 @@ mc AS (SELECT dt, symbol, close, coalesce(sign(CASE WHEN count(close) OVER f = 5
 tr AS (SELECT dt, symbol, s, close / nullif(lag(close) OVER w, 0) - 1 AS r, lag(s, 2) OVER w AS s2 FROM mc WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
 ts AS (SELECT dt, symbol, s, r, coalesce(s2 * r, 0) / 100 AS ret FROM tr)"""
 )
+
+
+def _cleaned(out: str, source: str, keep: str) -> str:
+    """Tables ``{out}`` of (keep, factor, z): clipped, filled and standardised per date and factor."""
+    return f"""
+{out}q AS (SELECT dt, factor, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM {source} GROUP BY 1, 2),
+{out}c AS (SELECT {keep}, factor, CASE WHEN value IS NOT NULL THEN greatest(least(value, hi), lo) END AS v FROM {source} JOIN {out}q USING (dt, factor)),
+{out}f AS (SELECT {keep}, factor, coalesce(v, median(v) OVER (PARTITION BY dt, factor)) AS v FROM {out}c),
+{out} AS (SELECT {keep}, factor, round((v - avg(v) OVER d) / nullif(stddev_samp(v) OVER d, 0), 10) AS z FROM {out}f WINDOW d AS (PARTITION BY dt, factor))"""
+
+
+def _icir(out: str, source: str) -> str:
+    """``{out}`` (dt, factor, weight) by the rank ICIR of (dt, factor, value, fwd)."""
+    return f"""
+{out}r AS (SELECT dt, factor, {rank('value', 'dt, factor')} AS rv, {rank('fwd', 'dt, factor')} AS rf FROM {source} WHERE fwd IS NOT NULL AND value IS NOT NULL),
+{out}i AS (SELECT dt, factor, CASE WHEN count(*) >= 5 THEN {corr('rv', 'rf')} END AS ic FROM {out}r GROUP BY 1, 2),
+{out}s AS (SELECT dt, factor, CASE WHEN count(ic) OVER p >= 6 THEN greatest(coalesce(avg(ic) OVER p / nullif(stddev_samp(ic) OVER p, 0), 0), 0) END AS score
+  FROM {out}i WINDOW p AS (PARTITION BY factor ORDER BY dt ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)),
+{out} AS (SELECT dt, factor, CASE WHEN score IS NULL THEN NULL WHEN sum(score) OVER d > 0 THEN score / sum(score) OVER d ELSE 1.0 / count(score) OVER d END AS weight FROM {out}s WINDOW d AS (PARTITION BY dt))"""
+
+
+_PROFIT, _GROWTH = ("roeq", "roaq", "gpoaq", "gmarq"), ("droeq", "droaq", "dgpoaq", "dgmarq")
+
+
+def _composite(names: tuple[str, ...], equal: bool, blend: bool, dated: bool = False) -> str:
+    members = """
+snap AS (SELECT quarter, symbol FROM (SELECT quarter, symbol, row_number() OVER (PARTITION BY quarter ORDER BY revenue DESC, symbol) AS n FROM qs) WHERE n <= 8),
+used AS (SELECT DISTINCT (SELECT max(quarter) FROM snap WHERE quarter <= d.dt) AS quarter FROM (SELECT DISTINCT dt FROM bm) d),
+mem AS (SELECT DISTINCT symbol FROM snap JOIN used USING (quarter)),"""
+    counts = " AND ".join(f"count({n}) >= 5" for n in names)
+    ctes = (
+        BM + "," + QUALITY + "," + (members if dated else "") + f"""
+dv AS (SELECT CAST(l_shipdate AS DATE) AS d, l_suppkey AS symbol, sum(l_extendedprice * l_discount) AS dividend FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+pn0 AS (SELECT dt, symbol, close, sum(amount) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS cap FROM bmg {'WHERE symbol IN (SELECT symbol FROM mem)' if dated else ''}),
+ttm AS (SELECT p.dt, p.symbol, sum(abs(dividend)) AS ttm FROM pn0 p JOIN dv ON dv.symbol = p.symbol AND dv.d > p.dt - 365 AND dv.d <= p.dt GROUP BY 1, 2),
+pn AS (SELECT p.dt, p.symbol, close, cap, CASE WHEN cap > 0 THEN ln(cap) END AS size, CASE WHEN cap > 0 THEN coalesce(ttm, 0) / cap END AS dividend_ratio FROM pn0 p LEFT JOIN ttm USING (dt, symbol)),
+ao AS (SELECT p.*, q.report_date, {', '.join(f'q.{n}' for n in (*_PROFIT, *_GROWTH))} FROM pn p ASOF LEFT JOIN ql q ON q.symbol = p.symbol AND q.dt <= p.dt),
+ok AS (SELECT dt FROM ao GROUP BY 1 HAVING {counts}),
+fw AS (SELECT dt, symbol, lead(c) OVER w / nullif(c, 0) - 1 AS fwd FROM (SELECT dt, symbol, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt) AS c FROM pn) WINDOW w AS (PARTITION BY symbol ORDER BY dt)),
+bs AS (SELECT ao.*, CASE WHEN ao.symbol % 3 > 0 THEN r_name END AS industry FROM ao LEFT JOIN supplier ON s_suppkey = ao.symbol LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN region ON r_regionkey = n_regionkey WHERE dt IN (SELECT dt FROM ok)),
+ln0 AS (SELECT dt, symbol, report_date, size, industry, unnest([{', '.join(f"'{n}'" for n in names)}]) AS factor, unnest([{', '.join(names)}]) AS value FROM bs),"""
+        + _cleaned("ca", "ln0", "dt, symbol, report_date, size, industry")
+        + """,
+nz AS (SELECT *, industry IS NOT NULL AS has, CASE WHEN z IS NOT NULL THEN size END AS ks FROM ca),
+n1 AS (SELECT *, count(ks) OVER s >= 3 AND max(ks) OVER s <> min(ks) OVER s AS use, median(ks) OVER s AS mid, count(z) OVER s AS n, count(z) OVER (PARTITION BY dt, factor) AS n_all,
+  avg(z) OVER s AS side_mean FROM nz WINDOW s AS (PARTITION BY dt, factor, has)),
+n2 AS (SELECT *, CASE WHEN z IS NOT NULL THEN CASE WHEN use THEN coalesce(size, mid) ELSE 0 END END AS s FROM n1),
+gi AS (SELECT dt, factor, has, count(DISTINCT industry) AS k FROM nz WHERE z IS NOT NULL GROUP BY 1, 2, 3),
+n3 AS (SELECT n2.*, z - avg(z) OVER g AS ry, s - avg(s) OVER g AS rs FROM n2 WINDOW g AS (PARTITION BY dt, factor, has, industry)),
+n4 AS (SELECT n3.*, coalesce(sum(ry * rs) OVER x / nullif(sum(rs * rs) OVER x, 0), 0) AS slope FROM n3 WINDOW x AS (PARTITION BY dt, factor, has)),
+n5 AS (SELECT n4.dt, n4.symbol, report_date, n4.factor, CASE WHEN n_all >= 3 THEN CASE WHEN n < 3 OR CASE WHEN n4.has THEN k ELSE 1 END + CASE WHEN use THEN 1 ELSE 0 END >= n THEN z - side_mean ELSE ry - slope * rs END END AS e
+  FROM n4 LEFT JOIN gi ON gi.dt = n4.dt AND gi.factor = n4.factor AND gi.has = n4.has),
+lq AS (SELECT n5.dt, n5.symbol, report_date, factor, fwd, round((e - avg(e) OVER d) / nullif(stddev_samp(e) OVER d, 0), 10) AS value FROM n5 LEFT JOIN fw USING (dt, symbol) WINDOW d AS (PARTITION BY n5.dt, factor)),"""
+    )
+    if equal:
+        ctes += "\nsco AS (SELECT dt, symbol, avg(value) AS score FROM lq WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3)"
+    else:
+        ctes += _icir("iw", "lq") + """,
+sw AS (SELECT dt, factor, CASE WHEN sum(CASE WHEN weight > 0 THEN 1 ELSE 0 END) OVER d >= 3 THEN weight WHEN count(weight) OVER d >= 3 AND weight IS NOT NULL THEN 1.0 / count(weight) OVER d END AS weight FROM iw WINDOW d AS (PARTITION BY dt)),
+sco AS (SELECT dt, symbol, sum(value * weight) / nullif(sum(weight), 0) AS score FROM lq JOIN sw USING (dt, factor) WHERE value IS NOT NULL AND weight IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3)"""
+    if not blend:
+        return with_(ctes, f"SELECT dt, symbol, {r6('score', 'value')} FROM sco")
+    ctes += f""",
+sd AS (SELECT c.dt, c.symbol, c.report_date, c.fwd, score FROM (SELECT * FROM lq WHERE factor = '{names[0]}') c LEFT JOIN sco USING (dt, symbol)),
+lr AS (SELECT symbol, report_date, score FROM sd WHERE score IS NOT NULL AND report_date IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol, report_date ORDER BY dt DESC) = 1),
+yy AS (SELECT sd.*, sd.score - lr.score AS increase FROM sd LEFT JOIN lr ON lr.symbol = sd.symbol AND lr.report_date = CAST(sd.report_date - INTERVAL 12 MONTH AS DATE)),
+ya AS (SELECT sd.*, CASE WHEN (SELECT count(increase) FROM yy) > 0 THEN yy.increase ELSE sd.score - lag(sd.score, 4) OVER (PARTITION BY sd.symbol ORDER BY sd.dt) END AS increase FROM sd JOIN yy USING (dt, symbol)),
+yo AS (SELECT dt FROM ya GROUP BY 1 HAVING count(score) >= 5 AND count(increase) >= 5),
+yl AS (SELECT dt, symbol, fwd, unnest(['score', 'increase']) AS factor, unnest([score, increase]) AS value FROM ya WHERE dt IN (SELECT dt FROM yo)),""" + _cleaned("yz", "yl", "dt, symbol, fwd") + ",\nyv AS (SELECT dt, symbol, fwd, factor, z AS value FROM yz)," + _icir("yw", "yv")
+    return with_(ctes, f"SELECT dt, symbol, {r6('sum(value * weight) / nullif(sum(weight), 0)', 'value')} FROM yv JOIN yw USING (dt, factor) WHERE value IS NOT NULL AND weight IS NOT NULL GROUP BY 1, 2")
+
+
 _FIRST = """
 alldates AS (SELECT 'market' AS "table", dt FROM bm WHERE symbol <> 3 UNION ALL SELECT 'etf', dt FROM bm WHERE symbol <= 3 AND symbol <> 3 UNION ALL SELECT 'fundamental', report_date FROM qs WHERE symbol <> 3
   UNION ALL SELECT 'alpha158', dt FROM bmg WHERE symbol <> 3 UNION ALL SELECT 'statement', dt FROM qs WHERE symbol <> 3 UNION ALL SELECT 'macro', dt FROM (SELECT DISTINCT CAST(ts AS DATE) AS dt, event_type FROM events)
@@ -405,6 +477,26 @@ ex AS (SELECT symbol, dt, ret - b AS ret FROM ts JOIN one USING (dt) WHERE b IS
     ),
     "time_folds": with_(BM + ", d AS (SELECT dt, row_number() OVER (ORDER BY dt) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT dt FROM bm)), f AS (SELECT dt, k, n // 6 AS size, n - (n // 6) * 5 AS first FROM d)", "SELECT dt, CAST(CASE WHEN k < first THEN 0 ELSE (k - first) // size + 1 END AS INT) AS fold FROM f"),
     "event_bars": f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS dt, event_type AS symbol, {r6('arg_min(value, (ts, event_id))', 'open')}, {r6('max(value)', 'high')}, {r6('min(value)', 'low')}, {r6('arg_max(value, (ts, event_id))', 'close')}, count(*) AS volume FROM events GROUP BY 1, 2",
+    "composite_quality": _composite((*_PROFIT, *_GROWTH, "dividend_ratio"), False, True),
+    "composite_quality_equal_weight": _composite((*_PROFIT, *_GROWTH, "dividend_ratio"), True, True),
+    "composite_profitability": _composite(_PROFIT, False, False),
+    "composite_growth": _composite(_GROWTH, False, False),
+    "composite_members": _composite(_PROFIT, False, False, True),
+    "three_factor_volatility": with_(
+        BM + """,
+rt AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY dt), 0) - 1 AS r FROM bmg),
+mk AS (SELECT dt, sum(r * amount) / nullif(sum(amount), 0) AS mkt FROM rt WHERE r IS NOT NULL AND amount > 0 GROUP BY 1),
+qz AS (SELECT *, quantile_cont(amount, 0.3) OVER d AS al, quantile_cont(amount, 0.7) OVER d AS ah, quantile_cont(volume, 0.3) OVER d AS vl, quantile_cont(volume, 0.7) OVER d AS vh FROM rt WHERE r IS NOT NULL AND amount IS NOT NULL AND volume IS NOT NULL WINDOW d AS (PARTITION BY dt)),
+sp AS (SELECT dt, CASE WHEN count(*) >= 2 THEN -(avg(CASE WHEN amount >= ah THEN r END) - avg(CASE WHEN amount <= al THEN r END)) END AS smb, CASE WHEN count(*) >= 2 THEN avg(CASE WHEN volume >= vh THEN r END) - avg(CASE WHEN volume <= vl THEN r END) END AS hml FROM qz GROUP BY 1),
+jn AS (SELECT rt.dt, rt.symbol, r, mkt, smb, hml, r IS NOT NULL AND mkt IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL AS ok FROM rt JOIN mk USING (dt) JOIN sp USING (dt)),
+jo AS (SELECT dt, symbol, CASE WHEN ok THEN r END AS y, CASE WHEN ok THEN mkt END AS m, CASE WHEN ok THEN smb END AS s, CASE WHEN ok THEN hml END AS h FROM jn),
+cv AS (SELECT dt, symbol, count(y) OVER w AS n, covar_samp(y, y) OVER w AS yy, covar_samp(y, m) OVER w AS ym, covar_samp(y, s) OVER w AS ys, covar_samp(y, h) OVER w AS yh, covar_samp(m, m) OVER w AS mm, covar_samp(m, s) OVER w AS ms,
+  covar_samp(m, h) OVER w AS mh, covar_samp(s, s) OVER w AS ss, covar_samp(s, h) OVER w AS sh, covar_samp(h, h) OVER w AS hh FROM jo WINDOW w AS (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+e1 AS (SELECT dt, symbol, n, yy - q * ym * ym AS yy, ys - q * ym * ms AS ys, yh - q * ym * mh AS yh, ss - q * ms * ms AS ss, sh - q * ms * mh AS sh, hh - q * mh * mh AS hh FROM (SELECT *, CASE WHEN mm > 1e-18 THEN 1 / mm ELSE 0 END AS q FROM cv)),
+e2 AS (SELECT dt, symbol, n, yy - q * ys * ys AS yy, yh - q * ys * sh AS yh, hh - q * sh * sh AS hh FROM (SELECT *, CASE WHEN ss > 1e-18 THEN 1 / ss ELSE 0 END AS q FROM e1)),
+e3 AS (SELECT dt, symbol, n, yy - q * yh * yh AS yy FROM (SELECT *, CASE WHEN hh > 1e-18 THEN 1 / hh ELSE 0 END AS q FROM e2))""",
+        f"SELECT dt, symbol, {r6('CASE WHEN n = 20 THEN sqrt(greatest(yy, 0)) * sqrt(252.0) END', 'value')} FROM e3",
+    ),
     "factor_rotation": with_(
         WEIGHTS + """,
 rg AS (SELECT *, count(*) OVER f AS n, row_number() OVER (PARTITION BY dt, factor ORDER BY value DESC, symbol) AS u, row_number() OVER (PARTITION BY dt, factor ORDER BY value, symbol) AS d FROM lng WHERE fwd IS NOT NULL AND value IS NOT NULL WINDOW f AS (PARTITION BY dt, factor)),

@@ -248,16 +248,24 @@ def _(spark, sf):
     return r6(Fa.quality_increase(q), "increase")
 
 
-def _quality(variant: str):
+def _quality(variant: str, dated: bool = False):
+    """Market values are a year's trades; a third of the names have no industry."""
+
     def run(spark, sf):
-        signal = capped(spark, sf).select("dt", "symbol", "size").join(grid(spark, sf).select("dt", "symbol", "close"), ["dt", "symbol"])
-        return r6(C.quality_composite(signal, S.quarterly_statements(spark, sf), variant, S.industries(spark, sf)), "value")
+        total = F.sum("amount").over(by_symbol().rowsBetween(-11, 0))
+        signal = grid(spark, sf).select("dt", "symbol", "close", total.alias("cap"), F.when(total > 0, F.log(total)).alias("size"))
+        industry = S.industries(spark, sf).select("symbol", F.when(F.col("symbol") % 3 > 0, F.col("industry")).alias("industry"))
+        quarters = S.quarterly_statements(spark, sf)
+        best = Window.partitionBy("quarter").orderBy(F.desc("revenue"), "symbol")
+        members = quarters.withColumn("n", F.row_number().over(best)).where("n <= 8").select(F.col("quarter").alias("dt"), "symbol") if dated else None
+        return r6(C.quality_composite(signal, quarters, variant, industry, members=members, dividends=S.dividends(spark, sf)), "value")
 
     return run
 
 
 for _v in C.VARIANTS:
     QUERIES[f"composite_{_v}"] = _quality(_v)
+QUERIES["composite_members"] = _quality("profitability", True)
 
 
 @query("factor_rotation")
