@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+import math
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SYMBOL, DATE = "symbol", "dt"
@@ -78,14 +80,31 @@ def rolling_correlation(x: Column, y: Column, n: int) -> Column:
     return F.when(F.count(pair).over(last_rows(n)) == n, correlation(x, y, last_rows(n)))
 
 
-def ewm_mean(x: Column, alpha: float, least: int) -> Column:
-    """Exponentially weighted mean with normalised weights over all rows so far; missing rows keep their age."""
-    values = F.collect_list(F.struct(x.alias("x"))).over(upto())
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"))
-    keep = F.lit(1 - alpha)
-    folded = F.aggregate(
-        values,
-        start,
-        lambda a, v: F.struct((a["s"] * keep + F.coalesce(v["x"], F.lit(0.0))).alias("s"), (a["w"] * keep + F.when(v["x"].isNotNull(), F.lit(1.0)).otherwise(F.lit(0.0))).alias("w")),
-    )
-    return F.when((F.count(x).over(upto()) >= least) & x.isNotNull(), div(folded["s"], folded["w"]))
+def ewm_means(df: DataFrame, inputs: dict[str, Column], alpha: float, least: int) -> DataFrame:
+    """Adds exponentially weighted means, with normalised weights, over all rows of a symbol so far; missing rows keep their age.
+
+    A symbol's rows are cut into blocks.  Within one, sums of ``x / (1 - alpha) ** k`` run along, k being the row's place in it; what
+    earlier blocks hand on is folded over their totals.  So a row costs the same however long the history is.
+    """
+    keep = 1.0 - alpha
+    rows = max(1, min(512, int(460 / -math.log(keep)))) if keep > 0 else 1
+    d = df.withColumn("_ew_i", F.row_number().over(by_symbol()) - 1)
+    d = d.withColumn("_ew_b", F.floor(F.col("_ew_i") / rows)).withColumn("_ew_k", (F.col("_ew_i") % rows).cast("double"))
+    d = d.withColumns({f"_ew_{n}": x.cast("double") for n, x in inputs.items()})
+    grow = F.pow(F.lit(1.0 / keep) if keep > 0 else F.lit(1.0), F.col("_ew_k"))
+    parts = {}
+    for n in inputs:
+        parts[f"_ew_s_{n}"] = F.coalesce(F.col(f"_ew_{n}"), F.lit(0.0)) * grow
+        parts[f"_ew_w_{n}"] = F.when(F.col(f"_ew_{n}").isNotNull(), grow).otherwise(F.lit(0.0))
+    d = d.withColumns(parts)
+    totals = d.groupBy(SYMBOL, "_ew_b").agg(*[(F.sum(c) * keep ** (rows - 1)).alias(c) for c in parts])
+    earlier = Window.partitionBy(SYMBOL).orderBy("_ew_b").rowsBetween(Window.unboundedPreceding, -1)
+    fold = lambda c: F.aggregate(F.collect_list(c).over(earlier), F.lit(0.0), lambda acc, x: acc * F.lit(keep**rows) + x)
+    carried = totals.select(F.col(SYMBOL).alias("_ew_symbol"), F.col("_ew_b").alias("_ew_at"), *[fold(c).alias(f"{c}_before") for c in parts])
+    inside = Window.partitionBy(SYMBOL, "_ew_b").orderBy("_ew_k").rowsBetween(Window.unboundedPreceding, 0)
+    here = F.pow(F.lit(keep), F.col("_ew_k"))
+    sums = d.withColumns({c: F.sum(c).over(inside) * here for c in parts} | {f"_ew_n_{n}": F.count(f"_ew_{n}").over(upto()) for n in inputs})
+    out = sums.join(carried, (F.col(SYMBOL) == F.col("_ew_symbol")) & (F.col("_ew_b") == F.col("_ew_at")), "left")
+    whole = lambda c: F.col(c) + F.coalesce(F.col(f"{c}_before"), F.lit(0.0)) * here * keep
+    made = {n: F.when((F.col(f"_ew_n_{n}") >= least) & F.col(f"_ew_{n}").isNotNull(), div(whole(f"_ew_s_{n}"), whole(f"_ew_w_{n}"))) for n in inputs}
+    return out.select(*[F.col(c) for c in df.columns if c not in made], *[c.alias(n) for n, c in made.items()])

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import by_symbol, div, ewm_mean, full, last_rows, pct_change, rolling, upto
+from ..functions.expressions import by_symbol, div, ewm_means, full, last_rows, pct_change, rolling, upto
 from .features import all_features, derived, feature_names, features
 
 
@@ -138,8 +138,7 @@ def rsi(df: DataFrame, period: int = 14, low: float = 30, high: float = 70, fixe
     """(dt, symbol, rsi, signal): +1 below ``low``, -1 above ``high``.  Without losses RSI is 0, or with ``fixed`` 100."""
     d = df.withColumn("_d", F.col("close") - F.lag("close").over(by_symbol()))
     part = lambda sign: F.when(F.col("_d").isNotNull(), F.greatest(sign * F.col("_d"), F.lit(0.0)))
-    gain, loss = (ewm_mean(part(s), 1 / period, period) for s in (1, -1))
-    d = d.withColumn("_g", gain).withColumn("_l", loss)
+    d = ewm_means(d, {"_g": part(1), "_l": part(-1)}, 1 / period, period)
     rs = F.when(F.col("_l") == 0, F.lit(None if fixed else 0.0).cast("double")).otherwise(div("_g", "_l"))
     value = 100 - F.lit(100.0) / (1 + rs)
     if fixed:
@@ -181,6 +180,7 @@ for _n in (5, 10, 20):
     REGISTRY.register(f"momentum_{_n}", of_column(lambda n=_n: momentum(n)))
 REGISTRY.register("volatility_20", volatility(20))
 REGISTRY.register("highlow_spread_20", high_low_spread(20))
+REGISTRY.register("capm_beta", capm_beta)
 REGISTRY.register("ma_cross_timing", ma_cross, "timing")
 REGISTRY.register("rsi_timing", rsi, "timing")
 

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from panelforge.functions.expressions import ewm_means
 from panelforge.operators import composites as C
 
 DATES = [d.date() for d in pd.date_range("2015-01-31", periods=40, freq="ME")]
@@ -71,3 +72,56 @@ def test_quality_composite_prefers_what_pays(spark):
     last = C.quality_composite(panel, statements, "profitability").where(F.col("dt") == DATES[-2]).orderBy("symbol").toPandas()
     assert len(last) == n and pd.Series(last.value).rank().corr(pd.Series(range(n), dtype=float)) > 0.9
     assert C.quality_composite(panel, statements, "quality").columns == ["dt", "symbol", "value"]
+
+
+def test_ewm_means_over_blocks(spark):
+    """Against pandas, over more rows than a block holds, with gaps, for slow and fast decay."""
+    r = np.random.default_rng(3)
+    rows = [(s, i, None if r.random() < 0.1 else float(r.normal())) for s in ("A", "B") for i in range(1300)]
+    df = spark.createDataFrame(rows, "symbol string, dt int, x double")
+    for alpha in (1 / 14, 0.001, 0.9, 1.0):
+        got = ewm_means(df, {"m": F.col("x")}, alpha, 5).toPandas().sort_values(["symbol", "dt"])
+        for _, g in got.groupby("symbol"):
+            want = g["x"].ewm(alpha=alpha, adjust=True, min_periods=5).mean().where(g["x"].notna())
+            np.testing.assert_allclose(g["m"].astype(float), want, atol=1e-9)
+    assert pd.notna(got["m"]).any()
+
+
+def test_names_without_industry_are_neutralised_apart(spark):
+    r = np.random.default_rng(4)
+    n = 24
+    size, value = r.normal(10, 1, n), r.normal(0, 1, n)
+    ind = [None if i % 3 == 0 else f"i{i % 2}" for i in range(n)]
+    gone = 5  # one size is unknown and counts as the median of its side
+    rows = [("2020-01-31", f"S{i:02d}", None if i == gone else float(size[i]), ind[i], "f", float(value[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "dt string, symbol string, size double, industry string, factor string, value double")
+    got = np.array([x.value for x in C.clean_scores(df, "size", "industry").orderBy("symbol").collect()])
+    y = np.clip(value, *np.quantile(value, [0.01, 0.99]))
+    y = (y - y.mean()) / y.std(ddof=1)
+    want = np.zeros(n)
+    for has in (True, False):
+        at = np.array([i for i in range(n) if (ind[i] is not None) == has])
+        s = size[at].copy()
+        if gone in at:
+            s[at == gone] = np.median(s[at != gone])
+        x = np.column_stack([np.ones(len(at)), s, *([[ind[i] == "i1" for i in at]] if has else [])]).astype(float)
+        want[at] = y[at] - x @ np.linalg.lstsq(x, y[at], rcond=None)[0]
+    want = (want - want.mean()) / want.std(ddof=1)
+    np.testing.assert_allclose(got, want, atol=1e-8)
+
+
+def test_dividend_ratio_sources(spark):
+    panel = spark.createDataFrame([(D.date(2020, 6, 1), "A", 10.0), (D.date(2020, 6, 1), "B", 0.0), (D.date(2020, 6, 1), "C", 4.0)], "dt date, symbol string, cap double")
+    paid = spark.createDataFrame([(D.date(2020, 6, 1), "A", -1.0), (D.date(2019, 6, 3), "A", 1.0), (D.date(2019, 6, 2), "A", 9.0)], "dt date, symbol string, dividend double")
+    rows = {r.symbol: r.dividend_ratio for r in C.dividend_ratio(panel, "cap", paid).collect()}
+    assert rows == {"A": 0.2, "B": None, "C": 0.0}
+    stated = paid.withColumnRenamed("dividend", "dividends_paid")
+    assert {r.symbol: r.dividend_ratio for r in C.dividend_ratio(panel, "cap", None, stated).collect()} == {"A": 0.2, "B": None, "C": None}
+    assert {r.dividend_ratio for r in C.dividend_ratio(panel, "cap").collect()} == {None}
+
+
+def test_increase_lags(spark):
+    rows = [(D.date(2020, 1, 1) + D.timedelta(days=31 * i), "A", float(i * i), None) for i in range(13)]
+    df = spark.createDataFrame(rows, "dt date, symbol string, score double, report_date date")
+    last = lambda lag: C.increase(df, lag).orderBy(F.desc("dt")).first().increase
+    assert (last("4q"), last("12m")) == (144.0 - 64.0, 144.0)
