@@ -100,6 +100,16 @@ def _grams(data) -> np.ndarray:
     return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
 
+def _packed_keys(keys: list[int | None]) -> bytes:
+    """Keys, then a byte for each that tells whether it is null."""
+    return np.array([k or 0 for k in keys], dtype="<i8").tobytes() + bytes(k is None for k in keys)
+
+
+def _keys(data: bytes) -> pa.Array:
+    n = len(data) // 9
+    return pa.array(np.frombuffer(data, "<i8", n), mask=np.frombuffer(data, bool, n, 8 * n))
+
+
 def _bucket_starts(every: np.ndarray, buckets: int) -> np.ndarray:
     """Where the buckets, which are equal ranges of hashes, begin and end in sorted hashes."""
     bounds = np.array([(b << 64) // buckets for b in range(buckets)], dtype=np.uint64)
@@ -123,13 +133,13 @@ def _exploded(order: int, buckets: int):
                     rows.append((bucket, chunk, bucket, _packed_grams(every[part]), _packed(times[part].astype("<u4")), None, None))
             # The documents' own row: distinct words, and the place of each word among them.
             every, which = np.unique(words, return_inverse=True)
-            rows.append((order * buckets + chunk, chunk, -1, _packed_grams(every), _packed(which.astype("<u4")), np.array(docs, dtype="<i8").tobytes(), lengths.tobytes()))
+            rows.append((order * buckets + chunk, chunk, -1, _packed_grams(every), _packed(which.astype("<u4")), _packed_keys(docs), lengths.tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = _words(text.as_py())
-                docs.append(np.iinfo(np.int64).min if doc is None else doc)
+                docs.append(doc)
                 texts.append(np.fromiter(map(hashes.__getitem__, tokens), dtype=np.uint64, count=len(tokens)))
                 size += len(tokens)
                 if len(hashes) > CACHE:
@@ -160,7 +170,7 @@ def _summed(order: int, alpha: float, cutoff: int, n_words: int):
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["bucket"])
         own, replies = rows[0], rows[1:]
-        docs, lengths = np.frombuffer(own["ids"], "<i8"), np.frombuffer(own["lengths"], "<i8")
+        docs, lengths = _keys(own["ids"]), np.frombuffer(own["lengths"], "<i8")
         words = _grams(own["grams"])[_unpacked(own["times"], "<u4")]
         totals = np.concatenate([np.empty(0, np.int64), *[_unpacked(r["times"], "<i8") for r in replies]])
         # From words upward: the longest n-gram that is seen often enough stands; each longer one that is not adds a step back.
@@ -178,8 +188,7 @@ def _summed(order: int, alpha: float, cutoff: int, n_words: int):
             base[ends] = logs
         upto = np.concatenate([[0], np.cumsum(np.rint(UNIT * value).astype(np.int64))])
         stop = np.cumsum(lengths)
-        none = docs == np.iinfo(np.int64).min
-        return pa.Table.from_arrays([pa.array(docs, mask=none), pa.array(lengths), pa.array(upto[stop] - upto[stop - lengths])], ["doc", "n_words", "micro"])
+        return pa.Table.from_arrays([docs, pa.array(lengths), pa.array(upto[stop] - upto[stop - lengths])], ["doc", "n_words", "micro"])
 
     return run
 

@@ -157,7 +157,7 @@ def nearest(
     without structure, as 0.99 or more at each number of hashes up to three (see the tests and README).
 
     Vectors that are null, of another length than the longest, zero, or hold a null or non-finite component take no part,
-    and null keys neither; rows that repeat a key and vector count once.  An empty table, or no query, gives an empty result.
+    and null keys neither; rows that repeat a key and vector count once.  Other columns are ignored, whatever their names.  An empty table, or no query, gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("vec"), queries.alias("is_query")).where("id IS NOT NULL AND vec IS NOT NULL")

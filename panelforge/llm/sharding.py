@@ -41,7 +41,8 @@ def shard(
     task holds a shard.  Weights have one entry per shard; the default is equal.
 
     Null keys share a shard; repeated keys get the same shard and different slots.  An
-    empty table gives an empty result; other columns are passed through.
+    empty table gives an empty result; other columns are passed through, those of the outputs' names replaced.
+    Names that start with ``_nb`` are reserved.
     """
     weights = [1.0] * shards if weights is None else [float(w) for w in weights]
     if len(weights) != shards:

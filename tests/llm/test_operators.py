@@ -509,6 +509,8 @@ def test_scores_equal_brute_force(docs, empty, monkeypatch):
     assert [g[0] for g in got] == [w[0] for w in want]
     np.testing.assert_allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
     assert all(r.per_word is None for r in score_documents(docs).where("n_words = 0").collect())
+    keys = [None, -(2**63), 2**63 - 1, 0]
+    assert {r.doc_id for r in score_documents(docs.sparkSession.createDataFrame([(k, "a b") for k in keys], "doc_id long, text string")).collect()} == set(keys)
     assert score_documents(empty).count() == 0
 
 
@@ -757,6 +759,36 @@ def test_sharding(spark, docs, empty):
         shard(df, 2, weights=[1.0])
 
 
+def brute_shards(rows, weights):
+    """The shard of each key by its highest score, and with one more shard of mean weight; slots by cells of a hash of the row."""
+
+    def best(key, w):
+        u = [((spark_hash(0, i, f"k{key}") % (1 << 64) >> 11) + 0.5) / (1 << 53) for i in range(len(w))]
+        return max(range(len(w)), key=lambda i: (w[i] / -np.log(u[i]), -i))
+
+    cells, out, slots = max(64, -(-len(rows) // 20_000)), {}, defaultdict(int)
+    for _, key, size, crc in sorted((spark_hash((k,), (s,), (c,)) % cells, k, s, c) for k, s, c in rows):
+        at = best(key, weights)
+        out[key] = (at, slots[at], best(key, [*weights, sum(weights) / len(weights)]))
+        slots[at] += 1
+    return out
+
+
+def test_sharding_equals_brute_force(spark):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = [(k, len(t) + 1, zlib.crc32(t)) for k, t in texts.items()]
+    assert {r.doc_id: (r["shard"], r.slot, r.grown_shard) for r in Q.op9_sharding(spark, SMALL).collect()} == brute_shards(rows, [1.0] * 8)
+
+
+def test_sharding_takes_odd_rows(spark):
+    """Null and repeated keys, and columns of the outputs' and inner names: the outputs replace theirs, the others stay."""
+    rows = [(None, "a", 9, "x"), (1, "a", 9, "x"), (1, "a", 9, "x"), (2, None, 9, "x")]
+    out = shard(spark.createDataFrame(rows, "doc_id long, text string, slot int, _cell string"), 2).collect()
+    assert [r["_cell"] for r in out] == ["x"] * 4 and len({r["shard"] for r in out if r.doc_id == 1}) == 1
+    for s in {r["shard"] for r in out}:
+        assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
 def test_sharding_query(spark):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in Q.op9_sharding(spark, SMALL).collect():
