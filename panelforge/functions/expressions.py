@@ -55,6 +55,12 @@ def pct_change(x: Column | str, n: int = 1) -> Column:
     return div(col(x), F.lag(col(x), n).over(by_symbol())) - 1
 
 
+def pct_change_padded(x: Column | str, n: int = 1) -> Column:
+    """The change of the value carried forward over gaps: after a gap it is taken against the last known value, within one it is 0."""
+    past = F.last(col(x), ignorenulls=True).over(by_symbol().rowsBetween(Window.unboundedPreceding, -n))
+    return div(ffill(x), past) - 1
+
+
 def ffill(x: Column | str) -> Column:
     return F.last(col(x), ignorenulls=True).over(upto())
 

@@ -152,15 +152,31 @@ class LayeredResult:
     excess_calmar: float
 
 
+def rolling_ic(ic: DataFrame, n: int = 20) -> DataFrame:
+    """(dt, ic): the mean IC of the last ``n`` dates, once all of them have one.  One series: calendar-sized."""
+    w = Window.orderBy("dt").rowsBetween(-(n - 1), 0)
+    return ic.select("dt", F.when(F.count("ic").over(w) == n, F.avg("ic").over(w)).alias("ic"))
+
+
+def layer_extremes(spreads: DataFrame, per_year: int = 252, period: int = 1) -> DataFrame:
+    """One row: drawdowns of the top group, of the bottom group sold and of the top's excess, and that excess a year (null when it
+    loses everything, 0 without dates) and by its drawdown."""
+    sides = spreads.select("dt", F.posexplode(F.array("top", "short", "excess")).alias("side", "ret")).where("ret IS NOT NULL")
+    by = Window.partitionBy("side").orderBy("dt").rowsBetween(Window.unboundedPreceding, 0)
+    sides = sides.withColumn("wealth", F.product(1 + F.col("ret")).over(by))
+    sides = sides.withColumn("dd", div(F.col("wealth") - F.max("wealth").over(by), F.max("wealth").over(by)))
+    worst = lambda k: F.coalesce(F.min(F.when(F.col("side") == k, F.col("dd"))), F.lit(0.0))
+    prod, n = F.product(F.when(F.col("side") == 2, 1 + F.col("ret"))), F.count(F.when(F.col("side") == 2, 1))
+    annual = F.when(n == 0, F.lit(0.0)).when(prod > 0, F.pow(prod, F.lit(per_year / period) / n) - 1)
+    out = sides.agg(worst(0).alias("long_drawdown"), worst(1).alias("short_drawdown"), annual.alias("excess_annual"), worst(2).alias("excess_drawdown"))
+    return out.withColumn("excess_calmar", F.when(F.col("excess_annual").isNotNull() & (F.col("excess_drawdown") < 0), F.col("excess_annual") / F.abs("excess_drawdown")).otherwise(F.lit(0.0)))
+
+
 def layered_backtest(pairs: DataFrame, q: int = 5, per_year: int = 252, period: int = 1) -> LayeredResult:
     layer = layers(pairs, q)
     spreads = spread_series(layer, q)
-    worst = lambda c: drawdown(spreads.select("dt", F.col(c).alias("ret")).where("ret IS NOT NULL")).agg(F.min("drawdown")).first()[0] or 0.0
-    prod, n = spreads.agg(F.product(1 + F.col("excess")), F.count("excess")).first()
-    annual = prod ** (per_year / period / n) - 1 if n and prod and prod > 0 else (None if n else 0.0)
-    dd = worst("excess")
-    calmar = annual / abs(dd) if annual is not None and dd < 0 else 0.0
-    return LayeredResult(layer, layer_summary(layer, q, per_year, period), spreads, worst("top"), worst("short"), annual, dd, calmar)
+    x = layer_extremes(spreads, per_year, period).first()
+    return LayeredResult(layer, layer_summary(layer, q, per_year, period), spreads, x.long_drawdown, x.short_drawdown, x.excess_annual, x.excess_drawdown, x.excess_calmar)
 
 
 def turnover(pairs: DataFrame, q: int = 5, factor: str = "factor") -> DataFrame:

@@ -20,8 +20,10 @@ class Registry:
     def __init__(self):
         self.selection: dict[str, Callable[[DataFrame], DataFrame]] = {}
         self.timing: dict[str, Callable[[], Column]] = {}
+        self.needs: dict[str, tuple[str, ...]] = {}
 
-    def register(self, name: str, make: Callable, kind: str = "selection") -> Callable:
+    def register(self, name: str, make: Callable, kind: str = "selection", needs: tuple[str, ...] = ()) -> Callable:
+        """``needs``: columns beyond those of bars that a grid must have for the factor."""
         if not name:
             raise ValueError("a factor needs a name")
         if kind not in ("selection", "timing"):
@@ -29,7 +31,7 @@ class Registry:
         table = getattr(self, kind)
         if name in table:
             warnings.warn(f"factor {name} is replaced", stacklevel=2)
-        table[name] = make
+        table[name], self.needs[name] = make, needs
         return make
 
     def get(self, name: str) -> Callable:
@@ -38,9 +40,16 @@ class Registry:
     def names(self, kind: str = "selection") -> list[str]:
         return sorted(getattr(self, kind))
 
+    def details(self) -> list[dict]:
+        """Name, kind, needed columns and the first line of the description of every factor."""
+        line = lambda f: ((getattr(f, "__doc__", None) or "").strip().splitlines() or [""])[0]
+        return [{"name": n, "kind": k, "needs": list(self.needs.get(n, ())), "description": line(getattr(self, k)[n])} for k in ("selection", "timing") for n in self.names(k)]
+
     def generate(self, grid: DataFrame, names: list[str] | None = None) -> DataFrame:
-        """(dt, symbol, one column for each factor); features share one select, other factors are joined by key."""
-        names = names or self.names()
+        """(dt, symbol, one column for each factor); features share one select, other factors are joined by key.
+
+        Without names, all factors whose needed columns the grid has."""
+        names = names or [n for n in self.names() if set(self.needs.get(n, ())) <= set(grid.columns)]
         if missing := [n for n in names if n not in self.selection]:
             raise KeyError(missing[0])
         made = all_features()
@@ -54,6 +63,7 @@ class Registry:
     def reset(self) -> None:
         self.selection.clear()
         self.timing.clear()
+        self.needs.clear()
 
     def discover(self, folder: str) -> list[str]:
         """Runs the Python files of a folder that don't start with ``_``; each may call ``register``.  Only for trusted folders."""
@@ -180,7 +190,7 @@ for _n in (5, 10, 20):
     REGISTRY.register(f"momentum_{_n}", of_column(lambda n=_n: momentum(n)))
 REGISTRY.register("volatility_20", volatility(20))
 REGISTRY.register("highlow_spread_20", high_low_spread(20))
-REGISTRY.register("capm_beta", capm_beta)
+REGISTRY.register("capm_beta", capm_beta, needs=("market_cap",))
 REGISTRY.register("ma_cross_timing", ma_cross, "timing")
 REGISTRY.register("rsi_timing", rsi, "timing")
 

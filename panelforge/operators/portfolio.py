@@ -53,6 +53,11 @@ class Simulation:
         """Each trade: signed shares, price, notional, costs, and cash, position and equity after it."""
         return self.records.select("strategy", "dt", F.explode("trades").alias("t")).select("strategy", "dt", "t.*")
 
+    @property
+    def rebalance_records(self) -> DataFrame:
+        """Each trade as a reader wants it: action, shares, price, notional and the balance after it."""
+        return self.trades.select("strategy", "dt", "symbol", "action", F.abs("shares").alias("shares"), "price", "notional", F.col("cash_after").alias("balance"))
+
     @property
     def positions(self) -> DataFrame:
         """Shares and weight of each name held after a date's trades."""

@@ -351,6 +351,21 @@ ent AS (SELECT p.*, (SELECT min(b.dt) FROM bm b WHERE b.dt > p.dt) AS next_dt FR
     "layers": with_(LAYERS, f"SELECT dt, grp, {r6('ret', 'ret')} FROM layers"),
     "layer_summary": with_(LAYERS, f"SELECT grp, {r6('product(1 + ret) - 1', 'total')}, {r6('pow(product(1 + ret), 12.0 / count(ret)) - 1', 'annual')}, {r6('coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12), 0)', 'sharpe')}, count(ret) AS n FROM damped GROUP BY 1"),
     "layer_spreads": with_(LAYERS, f"SELECT dt, {r6('max(CASE WHEN grp = 5 THEN ret END)', 'top')}, {r6('-max(CASE WHEN grp = 1 THEN ret END)', 'short')}, {r6('max(CASE WHEN grp = 5 THEN ret END) - avg(ret)', 'excess')} FROM layers GROUP BY 1"),
+    "layer_extremes": with_(
+        LAYERS + """,
+spx AS (SELECT dt, max(CASE WHEN grp = 5 THEN ret END) AS top, -max(CASE WHEN grp = 1 THEN ret END) AS short, max(CASE WHEN grp = 5 THEN ret END) - avg(ret) AS excess FROM damped GROUP BY 1),
+wl AS (SELECT dt, product(1 + top) OVER w AS a, product(1 + short) OVER w AS b, product(1 + excess) OVER w AS c, excess FROM spx WINDOW w AS (ORDER BY dt ROWS UNBOUNDED PRECEDING)),
+wd AS (SELECT excess, a / max(a) OVER w - 1 AS a, b / max(b) OVER w - 1 AS b, c / max(c) OVER w - 1 AS c FROM wl WINDOW w AS (ORDER BY dt ROWS UNBOUNDED PRECEDING)),
+wr AS (SELECT min(a) AS a, min(b) AS b, min(c) AS c, pow(product(1 + excess), 12.0 / count(excess)) - 1 AS y FROM wd)""",
+        f"SELECT {r6('a', 'long_drawdown')}, {r6('b', 'short_drawdown')}, {r6('y', 'excess_annual')}, {r6('c', 'excess_drawdown')}, {r6('CASE WHEN c < 0 THEN y / abs(c) ELSE 0 END', 'excess_calmar')} FROM wr",
+    ),
+    "rolling_ic": with_(IC, f"SELECT dt, {r6('CASE WHEN count(ic) OVER w = 12 THEN avg(ic) OVER w END', 'ic')} FROM ic WINDOW w AS (ORDER BY dt ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)"),
+    "pct_change_padded": with_(BM + ", ff AS (SELECT dt, symbol, last_value(close IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY dt) AS c FROM bmg)", f"SELECT dt, symbol, {r6('c / nullif(lag(c, 3) OVER (PARTITION BY symbol ORDER BY dt), 0) - 1', 'change')} FROM ff"),
+    "volatility_20": with_(DERIVED, f"SELECT dt, symbol, {r6(_agg(20, 'stddev_samp', 'ret'), 'value')} FROM d"),
+    "highlow_spread_20": with_(DERIVED + ", hs AS (SELECT dt, symbol, (high - low) / nullif(close, 0) AS s FROM bwg)", f"SELECT dt, symbol, {r6(_agg(20, 'avg', 's'), 'value')} FROM hs"),
+    "rebalance_records": _RECURSIVE
+    + f"""SELECT dt, symbol, CASE WHEN diff < 0 THEN 'sell' ELSE 'buy' END AS action, abs(diff) AS shares, {r6('p', 'price')}, round(abs(diff) * p, 2) AS notional
+FROM (SELECT s.dt, unnest(d.names) AS symbol, unnest(list_transform(s.sh, lambda x, i: x - s.psh[i])) AS diff, unnest(d.prices) AS p FROM (SELECT *, lag(sh) OVER (ORDER BY e) AS psh FROM st) s JOIN days d ON d.dt = s.dt WHERE s.e >= 0) WHERE diff <> 0""",
     "drawdown": with_(SERIES + ", s AS (SELECT dt, product(1 + ret) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) AS wealth FROM ser)", f"SELECT dt, {r6('wealth', 'wealth')}, {r6('wealth / max(wealth) OVER (ORDER BY dt ROWS UNBOUNDED PRECEDING) - 1', 'drawdown')} FROM s"),
     "turnover": with_(
         TOP + """,

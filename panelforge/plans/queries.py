@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import symbols as Y
-from ..functions.expressions import by_symbol, div, pct_change
+from ..functions.expressions import by_symbol, div, pct_change, pct_change_padded
 from ..operators import alignment as A
 from ..operators import composites as C
 from ..operators import crosssection as X
@@ -111,6 +111,9 @@ def _(spark, sf):
 QUERIES["layers"] = lambda spark, sf: r6(E.layers(pairs(spark, sf)), "ret")
 QUERIES["layer_summary"] = lambda spark, sf: r6(E.layer_summary(E.layers(pairs(spark, sf)).withColumn("ret", F.col("ret") / 100), period=21), "total", "annual", "sharpe")
 QUERIES["layer_spreads"] = lambda spark, sf: r6(E.spread_series(E.layers(pairs(spark, sf))), "top", "short", "excess")
+QUERIES["layer_extremes"] = lambda spark, sf: r6(E.layer_extremes(E.spread_series(E.layers(pairs(spark, sf)).withColumn("ret", F.col("ret") / 100)), period=21), "long_drawdown", "short_drawdown", "excess_annual", "excess_drawdown", "excess_calmar")
+QUERIES["rolling_ic"] = lambda spark, sf: r6(E.rolling_ic(E.ic_series(pairs(spark, sf)), 12), "ic")
+QUERIES["pct_change_padded"] = lambda spark, sf: r6(grid(spark, sf).select("dt", "symbol", pct_change_padded("close", 3).alias("change")), "change")
 QUERIES["drawdown"] = lambda spark, sf: r6(E.drawdown(series(spark, sf)).select("dt", "wealth", "drawdown"), "wealth", "drawdown")
 QUERIES["turnover"] = lambda spark, sf: r6(E.turnover(panel(spark, sf)), "turnover")
 QUERIES["top_holdings"] = lambda spark, sf: E.top_holdings(panel(spark, sf))
@@ -140,6 +143,8 @@ for _p in Fe.ROLLING:
     QUERIES[f"rolling_{_p}"] = _rolling(_p)
 for _n in (5, 10, 20):
     QUERIES[f"momentum_{_n}"] = lambda spark, sf, n=_n: r6(Fa.REGISTRY.get(f"momentum_{n}")(grid(spark, sf)), "value")
+for _n in ("volatility_20", "highlow_spread_20"):
+    QUERIES[_n] = lambda spark, sf, n=_n: r6(Fa.REGISTRY.get(n)(week_grid(spark, sf)), "value")
 for _r in ("month", "half_month"):
     QUERIES[f"resample_{_r}"] = lambda spark, sf, r=_r: r6(A.resample(S.weekly_bars(spark, sf), r), "open", "high", "low", "close")
 
@@ -296,6 +301,12 @@ def _(spark, sf):
     return r6(_simulation(spark, sf).positions, "weight").drop("strategy")
 
 
+@query("rebalance_records")
+def _(spark, sf):
+    out = _simulation(spark, sf).rebalance_records.drop("strategy", "balance")
+    return r6(out, "price").withColumn("notional", F.round("notional", 2))
+
+
 _PERF = ("total_return", "annual_return", "annual_vol", "sharpe", "max_drawdown", "calmar", "win_rate", "profit_loss")
 QUERIES["performance"] = lambda spark, sf: r6(P.performance(series(spark, sf)), *_PERF).select(*_PERF, "drawdown_days", "n")
 QUERIES["monthly_returns"] = lambda spark, sf: r6(P.monthly_returns(series(spark, sf)), "ret")

@@ -67,6 +67,11 @@ def delayed_statements(statements: DataFrame, days: int = 45, start: str | None
     return restricted(statements.where("filing_date IS NOT NULL").withColumn("dt", F.date_add("filing_date", days)), start=start, end=end)
 
 
+def without_annual_rows(statements: DataFrame, quarter: str = "fiscal_quarter") -> DataFrame:
+    """Quarterly rows: those whose quarter is not 0, or not known."""
+    return statements if quarter not in statements.columns else statements.where((F.col(quarter) != 0) | F.col(quarter).isNull())
+
+
 def warm_up(df: DataFrame, start: str, years: int = 1) -> DataFrame:
     """The rows before ``start`` that windows need: at most ``years`` back."""
     s = F.lit(start).cast("date")

@@ -49,6 +49,17 @@ def test_trades_follow_a_day_later_in_whole_shares(spark):
     assert (first.shares, first.price) == (9, 110.0)
 
 
+def test_registry_knows_what_factors_need(spark):
+    from panelforge.operators.factors import REGISTRY
+    from panelforge.sources.panels import without_annual_rows
+
+    beta = next(x for x in REGISTRY.details() if x["name"] == "capm_beta")
+    assert beta["needs"] == ["market_cap"] and beta["kind"] == "selection" and beta["description"].startswith("Rolling beta")
+    assert {x["kind"] for x in REGISTRY.details()} == {"selection", "timing"}
+    rows = frame(spark, [("A", 0), ("A", 1), ("A", None)], "symbol string, fiscal_quarter int")
+    assert [r.fiscal_quarter for r in without_annual_rows(rows).collect()] == [1, None] and without_annual_rows(rows.select("symbol")).count() == 3
+
+
 def test_simulator_sells_before_it_buys(spark):
     d = days(4)
     bars = frame(spark, [(x, s, 10.0) for x in d for s in "AB"], "dt date, symbol string, close double")
