@@ -48,7 +48,7 @@ CACHE = 150_000
 SEEN = 200_000
 #: Bytes of sets in a tile (each set counted for each pair), and its pairs.
 TILE_BYTES = 8 << 20
-TILE_PAIRS = 4_000
+TILE_PAIRS = 800
 #: Groups of a shingle with more classes than this are compared in tiles of at most about so many rows a side.
 LARGE_GROUP, GROUP_TILE = 64, 2048
 #: Shingles of all sets of such a side, at most about (8 bytes each, and as many bits in bitmaps).
