@@ -109,8 +109,11 @@ class Trained:
 
 
 def train_pipeline(features: DataFrame, labels: DataFrame, names: Sequence[str], costs: Sequence[float] = (0.1, 1.0, 10.0), gammas: Sequence[float] = (0.01, 0.1), pca: int | None = None, share: float = 0.1, seed: int = 42, **options) -> Trained:
-    """Labelled rows, split, components fitted on the training part alone, grid search, and the final fit."""
+    """Labelled rows, split, components fitted on the training part alone, grid search, and the final fit.  Without labelled
+    rows there is nothing to fit: ``ValueError``."""
     rows = durable(M.supervised(features, labels, names), "svm-set")
+    if rows.isEmpty():
+        raise ValueError("no row has a label and all features")
     train, valid = M.train_valid(rows, share, seed)
     transform, explained = M.fit_pca(train, names, pca)
     made = [f"pc_{i + 1:03d}" for i in range(len(explained))]

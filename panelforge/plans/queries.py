@@ -451,7 +451,7 @@ def _(spark, sf):
     """A Gaussian-kernel machine on cleaned factors, and its scores: beyond SQL, so counted only; the tests hold it against a plain fit."""
     raw = factor_panel(spark, sf)
     ready = M.preprocessed(raw.dropna(subset=list(FACTORS)), FACTORS)
-    trained = K.train_pipeline(ready, M.class_labels(raw, "fwd"), FACTORS, costs=(1.0,), gammas=(0.05,), width=64, rounds=10)
+    trained = K.train_pipeline(ready, M.class_labels(raw, "fwd", least=8), FACTORS, costs=(1.0,), gammas=(0.05,), width=64, rounds=10)
     return K.selection_scores(raw.dropna(subset=list(FACTORS)), trained, FACTORS)
 
 

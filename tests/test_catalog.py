@@ -70,6 +70,8 @@ def test_kernel_machine_separates_rings(spark, tmp_path):
     assert M.classifier_figures(scored).first().accuracy > 0.97
     trained.machine.save(spark, f"{tmp_path}/machine")
     assert K.KernelSvm.load(spark, f"{tmp_path}/machine") == trained.machine
+    with pytest.raises(ValueError):
+        K.train_pipeline(d.drop("label"), d.select("dt", "symbol", "label").limit(0), ["x", "y"])
     gap = trained.machine.score(spark.createDataFrame([(1.0, None)], "pc_001 double, pc_002 double")).first()
     assert gap.score is None
 

@@ -10,6 +10,7 @@ from panelforge.plans.oracles import ORACLES
 from panelforge.plans.queries import QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
+DATES = ("dt", "report_date", "last_dt", "first", "last", "filing_date", "observation_date", "updated_at")
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +32,7 @@ def test_matches_oracle(spark, duck, name):
     assert sorted(want.columns) == cols
     for d in (got, want):
         for c in cols:
-            if c in ("dt", "report_date", "last_dt"):
+            if c in DATES:
                 d[c] = pd.to_datetime(d[c]).astype("datetime64[ns]")
     a, b = (d[cols].sort_values(cols, ignore_index=True) for d in (got, want))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=0, atol=1.1e-6)
