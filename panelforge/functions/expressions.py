@@ -69,7 +69,7 @@ def average_rank(x: Column | str, window: WindowSpec | None = None, among: list[
     """Rank from 1 with ties averaged, within a date (or ``among``); NULL for NULL."""
     x, keys = col(x), among or [DATE]
     order = Window.partitionBy(*keys).orderBy(x.asc_nulls_last())
-    ties = F.count(x).over(Window.partitionBy(*keys, x))
+    ties = F.count(x).over(order.rangeBetween(Window.currentRow, Window.currentRow))  # peers: the same sort serves both
     return F.when(x.isNotNull(), F.rank().over(order) + (ties - 1) / F.lit(2.0))
 
 
