@@ -620,6 +620,18 @@ def test_recall_at_two_hashes(spark):
     assert hit / 800 >= 0.9
 
 
+def test_each_vector_is_shipped_once_at_two_hashes(spark, monkeypatch):
+    """Memory and disk: no table holds a row for each bucket that a vector is in or that a query probes."""
+    from panelforge.llm import neighbours
+
+    made, kept = [], neighbours.durable
+    monkeypatch.setattr(neighbours, "durable", lambda df, name: (made.append(kept(df, name)), made[-1])[1])
+    x = np.random.default_rng(8).standard_normal((1500, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "vec_id long, embedding array<double>")
+    assert nearest(df, F.col("vec_id") % 100 == 0, k=20, hashes=2).count() == 300
+    assert max(t.count() for t in made if {"vec", "vecs"} & set(t.columns)) <= 1500 and sum(t.count() for t in made) < 3 * 1500
+
+
 @pytest.mark.parametrize(("cosine", "hashes"), [(0.52, 2), (0.65, 3)])
 def test_probes_find_what_is_near_in_larger_tables(cosine, hashes):
     """Neighbours as near as the top 20 are among 131,000 and 17 million vectors of 64 dimensions, from where so many hashes are used."""
