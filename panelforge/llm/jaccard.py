@@ -49,6 +49,8 @@ SEEN = 200_000
 #: Bytes of sets in a tile (each set counted for each pair), and its pairs.
 TILE_BYTES = 8 << 20
 TILE_PAIRS = 800
+#: Pairs of a set that stay in one tile, so that the set is sent once for them.
+PAIRS_TOGETHER = 64
 #: Groups of a shingle with more classes than this are compared in tiles of at most about so many rows a side.
 LARGE_GROUP, GROUP_TILE = 64, 2048
 #: Shingles of all sets of such a side, at most about (8 bytes each, and as many bits in bitmaps).
@@ -394,7 +396,11 @@ def _decided(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     chunks = {f"{r.band_a}:{r.band_b}": max(-(-int(r.bytes) // TILE_BYTES), -(-r.pairs // TILE_PAIRS)) for r in work}
     of_band = F.create_map(*[F.lit(x) for kv in chunks.items() for x in kv]) if chunks else F.create_map(F.lit(""), F.lit(1))
     bands = F.concat_ws(":", "band_a", "band_b")
-    tiled = banded.withColumn("tile", F.xxhash64("band_a", "band_b", F.pmod(F.xxhash64("b"), F.element_at(of_band, bands)))).select("tile", "a", "b")
+    # Pairs are dealt by their first class, a hub's many pairs in parts: by the second, a hub's set would go to every tile.
+    many = banded.groupBy("a", "band_b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_TOGETHER).cast("int").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))
+    dealt = F.pmod(F.xxhash64("a", part), F.element_at(of_band, bands))
+    tiled = banded.join(many, ["a", "band_b"], "left").withColumn("tile", F.xxhash64("band_a", "band_b", dealt)).select("tile", "a", "b")
     held = tiled.select("tile", F.col("a").alias("s1")).unionByName(tiled.select("tile", F.col("b").alias("s1"))).distinct().join(sets, "s1")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rows = held.select("tile", "rep", "s1", "s2", "n", "bits", "shingles").unionByName(

@@ -544,6 +544,27 @@ def test_every_order_backs_off(docs, order, cutoff):
     np.testing.assert_allclose([g[1] for g in got], [w[1] for w in want], atol=1e-4)
 
 
+def test_a_hub_is_sent_to_few_tiles(spark, monkeypatch):
+    """A set goes once to a tile for up to 64 of its pairs, not to each tile of its size."""
+    from panelforge.llm import jaccard
+
+    def counting(percent):
+        def run(tile):
+            sets = tile["rep"].is_valid().to_pylist()
+            return pa.table({"a": pa.array([sum(sets)], pa.int64()), "b": pa.array([len(sets) - sum(sets)], pa.int64())})
+
+        return run
+
+    monkeypatch.setattr(jaccard, "_compare", counting)
+    links = [(h, 1000 + 40 * h + m) for h in range(100) for m in range(40)] + [(100, 10_000 + m) for m in range(1000)]
+    pairs = spark.createDataFrame([(a, 100, b, 100) for a, b in links], "a long, n_a long, b long, n_b long")
+    nodes = sorted({x for p in links for x in p})
+    sets = spark.createDataFrame([(x, x, x, 100, b"", b"") for x in nodes], "rep long, s1 long, s2 long, n long, bits binary, shingles binary")
+    tiles = jaccard._decided(sets, pairs, 80).collect()
+    assert sum(t.b for t in tiles) == 5000 and len(tiles) > 1
+    assert sum(t.a for t in tiles) <= 5000 + 100 + 16
+
+
 # ---- 6: nearest neighbours
 
 
